@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.keys import whole_number
 from millrace.llm.components import connected_components, label_by_least
 from millrace.llm.foldhash import collapse_copies
+from millrace.llm.setsketch import NearDuplicates
 from millrace.llm.topn import top_n_per_group
 from millrace.session import table
 
@@ -16,6 +17,15 @@ from millrace.session import table
 SHIFT = str(1 << 63)
 
 
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "quora_docs").select(F.col("doc_id").alias("key"), "text")
+    return docs.unionAll(table(spark, d, "quora_queries").select(F.col("query_id").alias("key"), "text"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return NearDuplicates(_questions(spark, d), "key", "text").key_pairs()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return collapse_copies(table(spark, d, "quora_docs"), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
@@ -39,11 +49,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n_per_group(hits, "query_id", "doc_id", order, 10, within=table(spark, d, "qrels")).select("query_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found)}
 
 _NUMBER = r"TRY_CAST(trim(doc_id, E' \t\r\n\x0b\x0c') AS DECIMAL(38,6))"
 
 SQL = {
+    "p1_found": r"""
+WITH t AS (SELECT DISTINCT doc_id AS k, text FROM quora_docs WHERE text IS NOT NULL UNION SELECT query_id, text FROM quora_queries WHERE text IS NOT NULL),
+w AS (SELECT k, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS ws FROM t),
+s AS (SELECT k, ws, len(ws) AS n FROM w WHERE len(ws) >= 5),
+u AS (SELECT k, n, unnest(ws) AS word FROM s),
+c AS (SELECT a.k AS key_a, b.k AS key_b, count(*) AS common, any_value(greatest(a.n, b.n)) AS n FROM u a JOIN u b ON a.word = b.word AND a.k < b.k GROUP BY 1, 2)
+SELECT key_a, key_b FROM c WHERE 10 * common >= 7 * n
+""",
     "p3_found": r"""
 WITH t AS (SELECT DISTINCT doc_id, text FROM quora_docs WHERE text IS NOT NULL),
 w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM t),
