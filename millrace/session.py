@@ -48,8 +48,13 @@ def cut(df: DataFrame) -> DataFrame:
     The files survive the loss of executors. They are removed once the result is no longer referenced
     (spark.cleaner.referenceTracking.cleanCheckpoints).
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    done = df.checkpoint(eager=True)
+    # A checkpointed frame hands on the constraints of the plan it came from; over many rounds of joins they multiply.
+    # A frame made from its rows has none.
+    jdf = spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
+    return DataFrame(jdf, spark)
 
 
 def ship_package(spark: SparkSession) -> None:
