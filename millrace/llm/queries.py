@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.keys import whole_number
+from millrace.llm.bpe import count_tokens, encode_corpus
 from millrace.llm.components import connected_components, label_by_least
+from millrace.llm.crosspolytope import most_similar, similar_pairs
 from millrace.llm.foldhash import collapse_copies
+from millrace.llm.mixture import Mixture
 from millrace.llm.setsketch import NearDuplicates
 from millrace.llm.topn import top_n_per_group
 from millrace.session import table
@@ -49,7 +52,34 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n_per_group(hits, "query_id", "doc_id", order, 10, within=table(spark, d, "qrels")).select("query_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found)}
+def p6_similar(spark: SparkSession, d: str) -> DataFrame:
+    n = most_similar(table(spark, d, "doc_vectors"), "doc_id", "vector")
+    return n.select(F.col("id").alias("doc_id"), F.col("neighbour").alias("similar_doc_id"), F.col("similarity").alias("similarity_score"), F.col("place").alias("rank"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = similar_pairs(most_similar(table(spark, d, "doc_vectors"), "doc_id", "vector"))
+    return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(table(spark, d, "documents"), "doc_id", "text")
+
+
+def _mixture(spark: SparkSession, d: str) -> Mixture:
+    sized = count_tokens(table(spark, d, "documents"), ["doc_id", "source"], "text")
+    return Mixture(sized, table(spark, d, "mix_targets"), "doc_id", "source", of_corpus=0.5)
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).documents().withColumnRenamed("key", "doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).shares()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p6_found, p6_similar, p7_ids, p8_mixture, p8_shares)}
 
 _NUMBER = r"TRY_CAST(trim(doc_id, E' \t\r\n\x0b\x0c') AS DECIMAL(38,6))"
 
