@@ -12,7 +12,8 @@ roots, until no edge is left. Labels go back to the removed vertices in the reve
 
 Nothing but counts comes to the driver. Degrees and smallest neighbours are sums and minima that are combined before
 the shuffle, so a hub costs one row a map task; joins against the edges of a hub are split by adaptive execution. Each
-round is cut with checkpoint().
+round is cut with checkpoint(). Joins are shuffled merge joins throughout: the sizes are unknown, and hash tables of many
+rounds would pile up on the driver.
 
 Defined cases: edges with a null end are no edges; repeated edges and both directions count once; an edge from a record
 to itself makes a group of one; empty input gives an empty result; extra columns are ignored.
@@ -38,8 +39,8 @@ def _strip(arcs: DataFrame) -> DataFrame:
 
 
 def _without(arcs: DataFrame, gone: DataFrame) -> DataFrame:
-    left = arcs.join(gone.select(F.col("v").alias("u")), "u", "left_anti")
-    return left.join(gone.select("v"), "v", "left_anti").select("u", "v")
+    left = arcs.join(gone.select(F.col("v").alias("u")).hint("merge"), "u", "left_anti")
+    return left.join(gone.select("v").hint("merge"), "v", "left_anti").select("u", "v")
 
 
 def _chains(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -49,7 +50,7 @@ def _chains(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # An arc (u, v) stands at its head; if the head is inner, its successor leaves the head by the other side.
     out = two.select("u", F.explode(F.array("a", "b")).alias("v"))
     mid = two.select(F.col("u").alias("v"), "a", "b")
-    step = out.join(mid, "v", "left").select(
+    step = out.join(mid.hint("merge"), "v", "left").select(
         "u",
         "v",
         F.when(F.col("a").isNull(), F.col("u")).otherwise(F.col("v")).alias("hu"),
@@ -65,7 +66,7 @@ def _chains(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         open_before = n_open
         jump = step.select(F.col("u").alias("hu"), F.col("v").alias("hv"), F.col("hu").alias("ju"), F.col("hv").alias("jv"), F.col("done").alias("jd"))
-        there = step.filter(~F.col("done")).join(jump, ["hu", "hv"], "left").select(
+        there = step.filter(~F.col("done")).join(jump.hint("merge"), ["hu", "hv"], "left").select(
             "u",
             "v",
             F.coalesce("ju", "hu").alias("hu"),
@@ -85,11 +86,11 @@ def _contract(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
     point = cut(point)
     while True:
         up = point.select(F.col("v").alias("to"), F.col("to").alias("up"))
-        nxt = cut(point.join(up, "to", "left").select("v", F.col("up").alias("to"), (F.col("up") != F.col("to")).alias("moved")))
+        nxt = cut(point.join(up.hint("merge"), "to", "left").select("v", F.col("up").alias("to"), (F.col("up") != F.col("to")).alias("moved")))
         point = nxt.select("v", "to")
         if nxt.filter("moved").isEmpty():
             break
-    rest = arcs.join(point.select(F.col("v").alias("u"), F.col("to").alias("ru")), "u").join(point.select("v", F.col("to").alias("rv")), "v")
+    rest = arcs.join(point.select(F.col("v").alias("u"), F.col("to").alias("ru")).hint("merge"), "u").join(point.select("v", F.col("to").alias("rv")).hint("merge"), "v")
     rest = rest.filter("ru <> rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct()
     return point.filter("v <> to"), cut(rest)
 
@@ -133,16 +134,16 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
             known = gone.select(F.col("v").alias("record"), F.col("to").alias("root"))
             continue
         up = known.select(F.col("record").alias("to"), "root")
-        some = gone.join(up, "to", "left").select(F.col("v").alias("record"), F.coalesce("root", "to").alias("root"))
+        some = gone.join(up.hint("merge"), "to", "left").select(F.col("v").alias("record"), F.coalesce("root", "to").alias("root"))
         known = known.unionByName(cut(some))
     alone = selves.withColumn("root", F.col("record"))
     if known is None:
         return alone
     known = known.unionByName(known.select(F.col("root").alias("record"), "root").distinct())
-    return known.unionByName(alone.join(known, "record", "left_anti"))
+    return known.unionByName(alone.join(known.hint("merge"), "record", "left_anti"))
 
 
 def label_by_least(members: DataFrame, value: str) -> DataFrame:
     """Give every record of a group the least non-null value of its members; members has record, root and value."""
     least = members.groupBy("root").agg(F.min(value).alias("label"))
-    return members.join(least, "root").select("record", "label")
+    return members.join(least.hint("merge"), "root").select("record", "label")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.keys import whole_number
+from millrace.llm import langid
 from millrace.llm.bpe import count_tokens, encode_corpus
 from millrace.llm.components import connected_components, label_by_least
 from millrace.llm.crosspolytope import most_similar, similar_pairs
@@ -79,7 +80,24 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).shares()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p6_found, p6_similar, p7_ids, p8_mixture, p8_shares)}
+def _documents_and_model(spark: SparkSession, d: str):
+    docs = table(spark, d, "documents")
+    return docs, langid.fit(docs, "doc_id", "text", "lang")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.mislabelled(*_documents_and_model(spark, d), "doc_id", "text", "lang")
+
+
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    return langid.document_languages(*_documents_and_model(spark, d), "doc_id", "text")
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    return langid.segment_languages(*_documents_and_model(spark, d), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p6_found, p6_similar, p7_ids, p8_mixture, p8_shares, p9_found, p9_documents, p9_segments)}
 
 _NUMBER = r"TRY_CAST(trim(doc_id, E' \t\r\n\x0b\x0c') AS DECIMAL(38,6))"
 
