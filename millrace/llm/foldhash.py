@@ -111,7 +111,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, min_words: int, labels: S
     """(key, text, h1, h2, p1, p2, record): h is what groups a row, p the hash of its plain words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in ts.slices(whole)):
             p1, p2, f1, f2, n = hash_batch(b.column(1), labels, marks)
             ok = np.flatnonzero(n >= min_words)
             if not len(ok):

@@ -4,19 +4,19 @@ A SetSketch holds, for each of m registers, the largest K = floor(1 - log_b h) o
 exponential number made from the element and the register, truncated to 0 .. q + 1. The registers of a union are the
 maxima of the registers, and two sets agree in a register the more often the more they have in common.
 
-1. Counting. How many texts hold a word is counted over all texts in a table of fixed size (2 ** count_bits counters,
+1. Counting. How often each word occurs is counted over all texts in a table of fixed size (2 ** count_bits counters,
    one hash; a counter never counts too little). Only that table comes to the driver and is broadcast.
 2. Banding. One sketch takes each word with the weight ln(1 + N / count): its h has that rate. A band is a run of
    registers of this sketch, as many as it takes until the expected number of texts agreeing in them by chance, N times
    the product of the winning words' shares, is at most `chance`. Rare winners need one register, common ones several.
-3. Joint estimate. A second sketch, unweighted, is carried along as four bits (hashed) of each of 32 registers. Within a
+3. Joint estimate. A second sketch, unweighted, is carried along as one bit of each of 256 registers. Within a
    bucket of a band, the likelihood of the number of equal registers under the least similarity that a true pair of
    these sizes can have is set against its quantile `miss`: pairs below it are dropped.
 4. Verifying. The pairs left are compared word by word.
 
 Texts with the same set of words share one identifier (a 64-bit hash of the set) and go through 2-4 once. They are made
 one within a batch before anything is shuffled, so a text with a third of all copies costs one entry a batch and band.
-Entries are shuffled as packed binary blocks, 30 bytes an entry, into as many parts as their number asks for. Buckets
+Entries are shuffled as packed binary blocks, 45 bytes an entry, into as many parts as their number asks for. Buckets
 are compared in square blocks of bounded size, none is cut.
 
 Defined cases: null and empty texts and those of fewer than min_words different words have no partner; a key delivered
@@ -30,7 +30,6 @@ Recall: a true pair is lost if no band agrees or the estimate falls under the qu
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
@@ -45,11 +44,13 @@ from millrace.llm import textscan as ts
 U = np.uint64
 #: Base and limit of the registers' scale; 16 bits hold q + 2 values.
 B, Q, RATE = 1.001, (1 << 16) - 2, 4096  # RATE: log_b of the exponentials' common rate
-REGISTERS = 64
+REGISTERS = 96
 DEPTH = 8  # most registers in a band
-SIGNATURE = 32  # registers of four bits in the second sketch
-ENTRY = np.dtype([("hash", "<u8"), ("id", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("n", "<u2")])
+SIGNATURE = 256  # registers of one bit in the second sketch
+ENTRY = np.dtype([("hash", "<u4"), ("id", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("s2", "<u8"), ("s3", "<u8"), ("n", "u1")])
+SIZES = 256  # larger sets count as this large in the estimate, which only keeps more
 SLICES = 64
+STRIP = 20  # registers worked on at a time, for the processor's caches
 BLOCK = 512
 
 
@@ -66,18 +67,13 @@ def _registers(words: np.ndarray, weight: np.ndarray | float, first: int, count:
     return np.clip(np.floor(1 - np.log(h) / math.log(B)) + RATE, 0, Q + 1).astype(np.uint32)
 
 
-def collision(j: float) -> float:
-    """Chance that two sets of one size and Jaccard similarity j agree in a register."""
-    return 1 + 2 * math.log(1 - (1 - j) / 2 * (B - 1) / B, B)
-
-
 def least_agreement(j: float, miss: float) -> int:
     """The quantile `miss` of the number of equal signature registers of sets with similarity j."""
-    p = collision(j)
-    p += (1 - p) / 16  # four bits also agree by chance
+    p = (1 + j) / 2  # at the finest scale registers agree with chance j; single bits of others half the time
     total = 0.0
     for k in range(SIGNATURE + 1):
-        total += math.comb(SIGNATURE, k) * p**k * (1 - p) ** (SIGNATURE - k)
+        if p < 1:
+            total += math.exp(math.lgamma(SIGNATURE + 1) - math.lgamma(k + 1) - math.lgamma(SIGNATURE - k + 1) + k * math.log(p) + (SIGNATURE - k) * math.log1p(-p))
         if total > miss:
             return k
     return SIGNATURE
@@ -85,15 +81,15 @@ def least_agreement(j: float, miss: float) -> int:
 
 @lru_cache(maxsize=8)
 def agreement_bounds(share: Fraction, miss: float, sizes: int) -> np.ndarray:
-    """[n_a, n_b] -> least number of equal signature registers for a pair to be kept; 255 if the sizes rule it out.
+    """[n_a, n_b] -> least number of equal signature registers for a pair to be kept; more than there are if the sizes rule it out.
 
     The similarity looked at is the least that a pair of these sizes with enough in common can have.
     """
     a, b = np.meshgrid(np.arange(sizes), np.arange(sizes), indexing="ij")
     c = -(-share.numerator * np.maximum(a, b) // share.denominator)
     j = np.floor(1000 * c / np.maximum(a + b - c, 1)).astype(int)
-    by_j = np.array([least_agreement(k / 1000, miss) for k in range(1001)], np.uint8)
-    return np.where(c <= np.minimum(a, b), by_j[np.clip(j, 0, 1000)], 255).astype(np.uint8)
+    by_j = np.array([least_agreement(k / 1000, miss) for k in range(1001)], np.uint16)
+    return np.where(c <= np.minimum(a, b), by_j[np.clip(j, 0, 1000)], SIGNATURE + 1).astype(np.uint16)
 
 
 def _sets(texts: pa.Array, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -109,37 +105,31 @@ def _sets(texts: pa.Array, min_words: int) -> tuple[np.ndarray, np.ndarray, np.n
     return h, sizes, starts, ids, rows
 
 
-def _batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i in range(0, b.num_rows, size):
-            yield b.slice(i, size)
-
-
-def count_words(docs: DataFrame, min_words: int, bits: int) -> tuple[np.ndarray, int]:
-    """Number of texts for each counter of a word's hash, and number of texts; over all texts."""
+def count_words(docs: DataFrame, bits: int) -> tuple[np.ndarray, int]:
+    """Number of occurrences for each counter of a word's hash, and number of texts with words; over all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, n = np.zeros(1 << bits, np.int64), 0
-        for b in _batches(batches, 8192):
-            h, _, _, _, rows = _sets(b.column(1), min_words)
-            table += np.bincount((h >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
-            n += len(rows)
+        for b in (x for whole in batches for x in ts.slices(whole)):
+            w = ts.scan(b.column(1))
+            table += np.bincount((w.hashes >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
+            n += len(np.unique(w.text))
         if n:
-            parts = [zlib.compress(x.astype(np.uint32).tobytes(), 1) for x in np.split(table, SLICES)]
+            parts = [_squeeze(x.astype(np.uint32).tobytes()) for x in np.split(table, SLICES)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary()), pa.array([n] * SLICES, pa.int64())], ["slice", "counts", "n"])
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros((1 << bits) // SLICES, np.int64)
         for x in t.column("counts"):
-            total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
+            total += np.frombuffer(_unsqueeze(x.as_py()), np.uint32)
         total = np.minimum(total, 2**32 - 1).astype(np.uint32)
-        return pa.table({"slice": t.column("slice")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary()), "n": pa.array([sum(t.column("n").to_pylist())], pa.int64())})
+        return pa.table({"slice": t.column("slice")[:1], "counts": pa.array([_squeeze(total.tobytes())], pa.binary()), "n": pa.array([sum(t.column("n").to_pylist())], pa.int64())})
 
     schema = "slice int, counts binary, n long"
     got = docs.mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).collect()  # SLICES rows at most
     table = np.zeros((SLICES, (1 << bits) // SLICES), np.uint32)
     for r in got:
-        table[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
+        table[r["slice"]] = np.frombuffer(_unsqueeze(r["counts"]), np.uint32)
     return table.reshape(-1), max([0, *(r["n"] for r in got)])
 
 
@@ -150,8 +140,11 @@ def band_hashes(h: np.ndarray, starts: np.ndarray, counts: np.ndarray, n: int, b
     c = np.maximum(counts[(words >> U(64 - bits)).astype(np.int64)], 1).astype(np.float64)
     # the winner's share goes along with the register, in eighths of a power of two
     share = np.clip(np.floor(8 * np.log2(np.maximum(n / c, 1))), 0, 255).astype(np.uint32)
-    single = _registers(words, np.log1p(n / c), 0, REGISTERS) << np.uint32(8) | share[:, None]
-    top = np.maximum.reduceat(single[back], starts, axis=0)
+    tops = []
+    for at in range(0, REGISTERS, STRIP):
+        single = _registers(words, np.log1p(n / c), at, min(STRIP, REGISTERS - at)) << np.uint32(8) | share[:, None]
+        tops.append(np.maximum.reduceat(single[back], starts, axis=0))
+    top = np.concatenate(tops, axis=1)
     out = np.empty((len(starts), bands), U)
     goal = 8 * math.log2(max(n / chance, 1))
     rng = np.random.default_rng(20)
@@ -172,22 +165,26 @@ def band_hashes(h: np.ndarray, starts: np.ndarray, counts: np.ndarray, n: int, b
 
 
 def signatures(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """[row, 2]: four bits of each of 32 unweighted registers."""
+    """[row, 4]: one bit of each of 256 unweighted registers.
+
+    Here b is as near to 1 as the hash is fine: the register is then in effect the largest hash itself, K being a
+    monotone function of it, and no logarithm is needed.
+    """
     words, back = np.unique(h, return_inverse=True)
-    top = np.maximum.reduceat(_registers(words, 1.0, REGISTERS, SIGNATURE)[back], starts, axis=0)
-    low = (ts.mix(top.astype(U)) & U(15)).reshape(len(starts), 2, 16)
-    return np.bitwise_or.reduce(low << (U(4) * np.arange(16, dtype=np.uint64)), axis=2)
+    seeds = ts.mix(np.arange(REGISTERS, REGISTERS + SIGNATURE, dtype=np.uint64)) | U(1)
+    bits = []
+    for at in range(0, SIGNATURE, STRIP):
+        single = ((words[:, None] * seeds[None, at : at + STRIP]) >> U(48)).astype(np.uint16)
+        bits.append(np.maximum.reduceat(single[back], starts, axis=0) & np.uint16(1))
+    return np.ascontiguousarray(np.packbits(np.concatenate(bits, axis=1).astype(bool), axis=1)).view(U)
 
 
-def _agree(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
-    """Number of equal four-bit registers."""
-    out = None
-    for x in (a0 ^ b0, a1 ^ b1):
-        x |= x >> U(2)
-        x |= x >> U(1)
-        k = np.bitwise_count(x & U(0x1111111111111111))
-        out = k if out is None else out + k
-    return SIGNATURE - out
+def _agree(s: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Number of equal one-bit registers."""
+    off = np.bitwise_count(s[0][i] ^ s[0][j]).astype(np.uint16)
+    for x in s[1:]:
+        off += np.bitwise_count(x[i] ^ x[j])
+    return SIGNATURE - off
 
 
 def pairs_in_buckets(e: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,12 +195,13 @@ def pairs_in_buckets(e: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
     e = e[~same]
     start = np.flatnonzero(np.r_[True, e["hash"][1:] != e["hash"][:-1]]) if len(e) else np.zeros(0, int)
     size = np.diff(np.r_[start, len(e)])
-    n = np.minimum(e["n"], bounds.shape[0] - 1)
-    ids, s0, s1 = np.ascontiguousarray(e["id"]), np.ascontiguousarray(e["s0"]), np.ascontiguousarray(e["s1"])
+    n = e["n"]
+    ids = np.ascontiguousarray(e["id"])
+    sig = tuple(np.ascontiguousarray(e[f]) for f in ("s0", "s1", "s2", "s3"))
     left, right = [], []
 
     def take(i: np.ndarray, j: np.ndarray) -> None:
-        ok = _agree(s0[i], s1[i], s0[j], s1[j]) >= bounds[n[i], n[j]]
+        ok = _agree(sig, i, j) >= bounds[n[i], n[j]]
         left.append(ids[i[ok]])
         right.append(ids[j[ok]])
 
@@ -236,39 +234,54 @@ def pairs_in_buckets(e: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
 class NearDuplicates:
     """The parts of the join, all lazy; docs needs the columns key and text."""
 
-    def __init__(self, docs: DataFrame, key: str, text: str, share: float = 0.7, min_words: int = 5, bands: int = 14, chance: float = 64.0, miss: float = 2e-4, count_bits: int = 20, part_entries: int = 400_000):
+    def __init__(self, docs: DataFrame, key: str, text: str, share: float = 0.7, min_words: int = 5, bands: int = 8, chance: float = 1024.0, miss: float = 0.01, count_bits: int = 20, part_entries: int = 300_000):
         self.share, self.min_words = Fraction(str(share)), min_words
         self.docs = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).filter("key IS NOT NULL AND text IS NOT NULL")
         self.bands, self.chance, self.miss, self.count_bits, self.part_entries = bands, chance, miss, count_bits, part_entries
 
-    def members(self, with_text: bool = False) -> DataFrame:
-        """(id, key), or (id, text) once a batch: which set of words a key's text has."""
+    def members(self) -> DataFrame:
+        """(id, key): which set of words a key's text has."""
         min_words = self.min_words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in _batches(batches, 8192):
+            for b in (x for whole in batches for x in ts.slices(whole)):
                 _, _, _, ids, rows = _sets(b.column(1), min_words)
-                if with_text and len(ids):
-                    ids, first = np.unique(ids, return_index=True)
-                    rows = rows[first]
-                yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), b.column(int(with_text)).take(pa.array(rows))], ["id", "value"])
-
-        rows = self.docs.mapInArrow(run, "id long, value string")
-        if with_text:
-            return rows.groupBy("id").agg(F.first("value").alias("text"))
-        return rows.select("id", F.col("value").alias("key")).distinct()
-
-    def candidates(self) -> DataFrame:
-        """(a, b): identifiers of sets that agree in a band and pass the joint estimate."""
+                yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), b.column(0).take(pa.array(rows))], ["id", "key"])
+
+        return self.docs.mapInArrow(run, "id long, key string").distinct()
+
+    def _texts(self, parts: int) -> DataFrame:
+        """(part, block): one text of every set, packed and compressed by the part its identifier falls in."""
+        min_words = self.min_words
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [(_sets(x.column(1), min_words), at * ts.MOST_TEXTS) for at, x in enumerate(ts.slices(b))]
+                if not found:
+                    continue
+                ids = np.concatenate([s[3] for s, _ in found])
+                rows = np.concatenate([s[4] + at for s, at in found])
+                ids, first = np.unique(ids, return_index=True)
+                if not len(ids):
+                    continue
+                yield _by_part(_part(ids, parts), [ids], b.column(1).take(pa.array(rows[first])))
+
+        return self.docs.mapInArrow(run, PACKED)
+
+    def candidates(self) -> tuple[DataFrame, int]:
+        """(part, a, b): identifiers of sets that agree in a band and pass the joint estimate, and the number of parts.
+
+        A pair may come from several bands; part is that of a.
+        """
         spark = self.docs.sparkSession
-        counts, n = count_words(self.docs, self.min_words, self.count_bits)
+        counts, n = count_words(self.docs, self.count_bits)
         sent = spark.sparkContext.broadcast(counts)  # 4 << count_bits bytes, whatever the data
         parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * self.bands / self.part_entries))
         min_words, bands, chance = self.min_words, self.bands, self.chance
         share, miss = self.share, self.miss
 
         def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in _batches(batches, 4096):
+            for b in (x for whole in batches for x in ts.slices(whole)):
                 h, sizes, starts, ids, _ = _sets(b.column(1), min_words)
                 if not len(ids):
                     continue
@@ -276,10 +289,11 @@ class NearDuplicates:
                 sig = signatures(h, starts)
                 _, first = np.unique(ids, return_index=True)  # copies within the batch go once
                 e = np.empty((len(first), bands), ENTRY)
-                e["hash"], e["id"], e["n"] = band[first], ids[first, None], np.minimum(sizes[first, None], 65535)
-                e["s0"], e["s1"] = sig[first, 0, None], sig[first, 1, None]
+                e["hash"], e["id"], e["n"] = band[first] & U(0xFFFFFFFF), ids[first, None], np.minimum(sizes[first, None], SIZES - 1)
+                for i in range(4):
+                    e[f"s{i}"] = sig[first, i, None]
+                part = ((band[first] >> U(32)) % U(parts)).astype(np.int64).reshape(-1)
                 e = e.reshape(-1)
-                part = ((e["hash"] >> U(20)) % U(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 e, part = e[order], part[order]
                 cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
@@ -289,34 +303,51 @@ class NearDuplicates:
 
         def join(t: pa.Table) -> pa.Table:
             e = np.concatenate([_unpack(x.as_py()) for x in t.column("block")])
-            bounds = agreement_bounds(share, miss, 401)  # larger sizes count as 400, which only keeps more
+            bounds = agreement_bounds(share, miss, SIZES)
             a, b = pairs_in_buckets(e, bounds)
-            return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+            return pa.table({"part": _part(a, parts), "a": a.view(np.int64), "b": b.view(np.int64)})
 
-        packed = self.docs.mapInArrow(entries, "part long, block binary")
-        return packed.groupBy("part").applyInArrow(join, "a long, b long").distinct()
+        packed = self.docs.mapInArrow(entries, PACKED)
+        return packed.groupBy("part").applyInArrow(join, "part long, a long, b long"), parts
 
     def linked_sets(self) -> DataFrame:
-        """(a, b, common, n_a, n_b): verified pairs of different sets."""
-        texts = self.members(with_text=True)
-        left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-        right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-        both = self.candidates().join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-        num, den = self.share.numerator, self.share.denominator
+        """(a, b, common, n_a, n_b): verified pairs of different sets, each once.
 
-        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in _batches(batches, 8192):
-                (ha, ta, na), (hb, tb, nb) = (ts.distinct(ts.scan(b.column(i))) for i in (2, 3))
-                h, t = np.r_[ha, hb], np.r_[ta, tb]
-                order = np.lexsort((h, t))
-                h, t = h[order], t[order]
-                twice = np.flatnonzero((h[1:] == h[:-1]) & (t[1:] == t[:-1]))
-                common = np.bincount(t[twice], minlength=b.num_rows)
-                ok = np.flatnonzero(common * den >= num * np.maximum(na, nb))
-                some = b.take(pa.array(ok))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *(pa.array(x[ok]) for x in (common, na, nb))], ["a", "b", "common", "n_a", "n_b"])
+        Pairs meet the text of a in a's part, go on to b's part and are compared there.
+        """
+        pairs, parts = self.candidates()
+        texts = self._texts(parts).groupBy("part")
+        num, den = self.share.numerator, self.share.denominator
 
-        return both.mapInArrow(verify, "a long, b long, common long, n_a long, n_b long")
+        def attach(p: pa.Table, t: pa.Table) -> pa.Table:
+            a, b = (p.column(c).to_numpy().view(U) for c in ("a", "b"))
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            a, b = a[new], b[new]
+            out = _by_part(_part(b, parts), [a, b], _Texts(t).find(a)) if len(a) else None
+            return pa.Table.from_batches([out] if out else [], OUT)
+
+        def verify(p: pa.Table, t: pa.Table) -> pa.Table:
+            got: list[list] = [[] for _ in range(5)]
+            store = _Texts(t)
+            for x in p.column("block"):
+                (a, b), ta = _unblock(x.as_py(), 2)
+                tb = store.find(b)
+                for at in range(0, len(a), ts.MOST_TEXTS):
+                    (ha, wa, na), (hb, wb, nb) = (ts.distinct(ts.scan(y.slice(at, ts.MOST_TEXTS))) for y in (ta, tb))
+                    both = np.sort(np.r_[wa.astype(U) << U(52) | ha >> U(12), wb.astype(U) << U(52) | hb >> U(12)])
+                    twice = both[1:][both[1:] == both[:-1]] >> U(52)
+                    common = np.bincount(twice.astype(np.int64), minlength=len(na))
+                    ok = np.flatnonzero(common * den >= num * np.maximum(na, nb))
+                    for g, v in zip(got, (a[at:][ok].view(np.int64), b[at:][ok].view(np.int64), common[ok], na[ok], nb[ok])):
+                        g.append(v)
+            names = ("a", "b", "common", "n_a", "n_b")
+            return pa.table({k: np.concatenate(g) if g else np.zeros(0, np.int64) for k, g in zip(names, got)})
+
+        half = pairs.groupBy("part").cogroup(texts).applyInArrow(attach, PACKED)
+        return half.groupBy("part").cogroup(texts).applyInArrow(verify, "a long, b long, common long, n_a long, n_b long")
 
     def key_pairs(self) -> DataFrame:
         """(key_a, key_b): every pair of keys, copies included."""
@@ -329,6 +360,62 @@ class NearDuplicates:
         return across.unionByName(within).distinct()
 
 
+PACKED = "part long, block binary"
+OUT = pa.schema([("part", pa.int64()), ("block", pa.binary())])
+
+
+ZSTD = pa.Codec("zstd", compression_level=3)
+
+
+def _squeeze(raw: bytes) -> bytes:
+    return np.uint32(len(raw)).tobytes() + ZSTD.compress(raw, asbytes=True)
+
+
+def _unsqueeze(block: bytes) -> bytes:
+    return ZSTD.decompress(memoryview(block)[4:], decompressed_size=int.from_bytes(block[:4], "little"), asbytes=True)
+
+
+def _part(ids: np.ndarray, parts: int) -> np.ndarray:
+    return ((ids >> U(32)) % U(parts)).astype(np.int64)
+
+
+def _by_part(part: np.ndarray, columns: list[np.ndarray], texts: pa.Array) -> pa.RecordBatch:
+    """Rows (columns of 64 bits and a text) as one compressed block a part."""
+    order = np.argsort(part, kind="stable")
+    cuts = np.r_[np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]]), len(part)]
+    blocks = []
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        at = order[i:j]
+        raw = [t.encode() for t in texts.take(pa.array(at)).to_pylist()]
+        head = [np.uint32(len(at)).tobytes(), *(c[at].tobytes() for c in columns), np.fromiter(map(len, raw), np.uint32, len(raw)).tobytes()]
+        blocks.append(_squeeze(b"".join(head + raw)))
+    return pa.RecordBatch.from_arrays([pa.array(part[order][cuts[:-1]]), pa.array(blocks, pa.binary())], schema=OUT)
+
+
+def _unblock(block: bytes, columns: int) -> tuple[list[np.ndarray], pa.Array]:
+    raw = _unsqueeze(block)
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    got = [np.frombuffer(raw, U, n, 4 + 8 * n * i) for i in range(columns)]
+    at = 4 + 8 * n * columns
+    ends = np.r_[0, np.cumsum(np.frombuffer(raw, np.uint32, n, at), dtype=np.int64)]
+    texts = pa.LargeStringArray.from_buffers(n, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw[at + 4 * n :]))
+    return got, texts
+
+
+class _Texts:
+    """The texts of a part, by identifier."""
+
+    def __init__(self, blocks: pa.Table):
+        parts = [_unblock(x.as_py(), 1) for x in blocks.column("block")]
+        known = np.concatenate([p[0][0] for p in parts])
+        self.texts = pa.concat_arrays([p[1] for p in parts])
+        self.order = np.argsort(known, kind="stable")
+        self.known = known[self.order]
+
+    def find(self, ids: np.ndarray) -> pa.Array:
+        return self.texts.take(pa.array(self.order[np.searchsorted(self.known, ids)]))
+
+
 def _pack(e: np.ndarray) -> list[bytes]:
     return [np.uint32(len(e)).tobytes(), *(np.ascontiguousarray(e[f]).tobytes() for f in ENTRY.names)]
 

@@ -96,11 +96,23 @@ def scan(texts: pa.Array | pa.ChunkedArray, base: np.uint64 = BASES[0]) -> Words
     return Words(hashes, np.searchsorted(offsets, place, "right") - 1, end, codes, offsets, len(texts))
 
 
+#: distinct() takes at most so many texts at once; it keeps the upper 52 bits of a word's hash.
+MOST_TEXTS = 4096
+
+
 def distinct(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different words of each text: hashes sorted within texts, their texts, and how many each text has."""
-    order = np.lexsort((w.hashes, w.text))
-    h, t = w.hashes[order], w.text[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
-    h, t = h[new], t[new]
-    return h, t, np.bincount(t, minlength=w.n)
+    if w.n > MOST_TEXTS:
+        raise ValueError(f"at most {MOST_TEXTS} texts at once")
+    both = np.sort(w.text.astype(U) << U(52) | w.hashes >> U(12))
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    both = both[new]
+    t = (both >> U(52)).astype(np.int64)
+    return both << U(12), t, np.bincount(t, minlength=w.n)
+
+
+def slices(b: pa.RecordBatch | pa.Table, size: int = MOST_TEXTS):
+    """Slices of at most `size` rows."""
+    for at in range(0, b.num_rows, size):
+        yield b.slice(at, size)
