@@ -9,6 +9,7 @@ maxima of the registers, and two sets agree in a register the more often the mor
 2. Banding. One sketch takes each word with the weight ln(1 + N / count): its h has that rate. A band is a run of
    registers of this sketch, as many as it takes until the expected number of texts agreeing in them by chance, N times
    the product of the winning words' shares, is at most `chance`. Rare winners need one register, common ones several.
+   A band won by a word that occurs once in the corpus can't be shared and isn't sent.
 3. Joint estimate. A second sketch, unweighted, is carried along as one bit of each of 256 registers. Within a
    bucket of a band, the likelihood of the number of equal registers under the least similarity that a true pair of
    these sizes can have is set against its quantile `miss`: pairs below it are dropped.
@@ -105,47 +106,58 @@ def _sets(texts: pa.Array, min_words: int) -> tuple[np.ndarray, np.ndarray, np.n
     return h, sizes, starts, ids, rows
 
 
+def _slot(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> U(64 - bits)).astype(np.int64)
+
+
 def count_words(docs: DataFrame, bits: int) -> tuple[np.ndarray, int]:
-    """Number of occurrences for each counter of a word's hash, and number of texts with words; over all texts."""
+    """A code for each counter of a word's hash, and the number of texts with words; over all texts.
+
+    Counters hold occurrences; a code is 0 for none, else 1 + 8 log2 of the count, so 1 is exactly once.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, n = np.zeros(1 << bits, np.int64), 0
+        table, n = np.zeros(1 << bits, np.uint32), 0
         for b in (x for whole in batches for x in ts.slices(whole)):
             w = ts.scan(b.column(1))
-            table += np.bincount((w.hashes >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
+            np.add.at(table, _slot(w.hashes, bits), np.uint32(1))
             n += len(np.unique(w.text))
         if n:
-            parts = [_squeeze(x.astype(np.uint32).tobytes()) for x in np.split(table, SLICES)]
+            parts = [_squeeze(x.tobytes()) for x in np.split(table, SLICES)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary()), pa.array([n] * SLICES, pa.int64())], ["slice", "counts", "n"])
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros((1 << bits) // SLICES, np.int64)
         for x in t.column("counts"):
             total += np.frombuffer(_unsqueeze(x.as_py()), np.uint32)
-        total = np.minimum(total, 2**32 - 1).astype(np.uint32)
-        return pa.table({"slice": t.column("slice")[:1], "counts": pa.array([_squeeze(total.tobytes())], pa.binary()), "n": pa.array([sum(t.column("n").to_pylist())], pa.int64())})
+        code = np.where(total > 0, 1 + np.floor(8 * np.log2(np.maximum(total, 1))), 0).astype(np.uint8)
+        return pa.table({"slice": t.column("slice")[:1], "counts": pa.array([_squeeze(code.tobytes())], pa.binary()), "n": pa.array([sum(t.column("n").to_pylist())], pa.int64())})
 
     schema = "slice int, counts binary, n long"
     got = docs.mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).collect()  # SLICES rows at most
-    table = np.zeros((SLICES, (1 << bits) // SLICES), np.uint32)
+    table = np.zeros((SLICES, (1 << bits) // SLICES), np.uint8)
     for r in got:
-        table[r["slice"]] = np.frombuffer(_unsqueeze(r["counts"]), np.uint32)
+        table[r["slice"]] = np.frombuffer(_unsqueeze(r["counts"]), np.uint8)
     return table.reshape(-1), max([0, *(r["n"] for r in got)])
 
 
-def band_hashes(h: np.ndarray, starts: np.ndarray, counts: np.ndarray, n: int, bands: int, chance: float) -> np.ndarray:
-    """[row, band] hashes of the weighted sketch's registers."""
+def band_hashes(h: np.ndarray, starts: np.ndarray, codes: np.ndarray, n: int, bands: int, chance: float) -> tuple[np.ndarray, np.ndarray]:
+    """[row, band] hashes of the weighted sketch's registers, and whether another text can have the same.
+
+    A band in which a word wins that occurs once in the corpus is no other text's.
+    """
     words, back = np.unique(h, return_inverse=True)
-    bits = int(counts.size).bit_length() - 1
-    c = np.maximum(counts[(words >> U(64 - bits)).astype(np.int64)], 1).astype(np.float64)
-    # the winner's share goes along with the register, in eighths of a power of two
-    share = np.clip(np.floor(8 * np.log2(np.maximum(n / c, 1))), 0, 255).astype(np.uint32)
+    code = codes[_slot(words, int(codes.size).bit_length() - 1)].astype(np.int64)
+    weight = np.log1p(n / 2.0 ** ((np.maximum(code, 1) - 1) / 8))
+    # the winner's share of the texts goes along with the register, in eighths of a power of two; 255 marks once
+    share = np.where(code == 1, 255, np.clip(round(8 * math.log2(max(n, 1))) - (code - 1), 0, 254)).astype(np.uint32)
     tops = []
     for at in range(0, REGISTERS, STRIP):
-        single = _registers(words, np.log1p(n / c), at, min(STRIP, REGISTERS - at)) << np.uint32(8) | share[:, None]
+        single = _registers(words, weight, at, min(STRIP, REGISTERS - at)) << np.uint32(8) | share[:, None]
         tops.append(np.maximum.reduceat(single[back], starts, axis=0))
     top = np.concatenate(tops, axis=1)
     out = np.empty((len(starts), bands), U)
+    alive = np.ones((len(starts), bands), bool)
     goal = 8 * math.log2(max(n / chance, 1))
     rng = np.random.default_rng(20)
     for b in range(bands):
@@ -156,12 +168,14 @@ def band_hashes(h: np.ndarray, starts: np.ndarray, counts: np.ndarray, n: int, b
         for r in run:
             v = top[:, r]
             acc = np.where(on, ts.mix(acc ^ v.astype(U) * U(0xD1B54A32D192ED03)), acc)
-            got += np.where(on, v & np.uint32(255), 0)
+            low = v & np.uint32(255)
+            alive[:, b] &= ~on | (low != 255)
+            got += np.where(on, low, 0)
             on &= got < goal
             if not on.any():
                 break
         out[:, b] = acc
-    return out
+    return out, alive
 
 
 def signatures(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -234,7 +248,7 @@ def pairs_in_buckets(e: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
 class NearDuplicates:
     """The parts of the join, all lazy; docs needs the columns key and text."""
 
-    def __init__(self, docs: DataFrame, key: str, text: str, share: float = 0.7, min_words: int = 5, bands: int = 8, chance: float = 1024.0, miss: float = 0.01, count_bits: int = 20, part_entries: int = 300_000):
+    def __init__(self, docs: DataFrame, key: str, text: str, share: float = 0.7, min_words: int = 5, bands: int = 8, chance: float = 1024.0, miss: float = 0.01, count_bits: int = 22, part_entries: int = 300_000):
         self.share, self.min_words = Fraction(str(share)), min_words
         self.docs = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).filter("key IS NOT NULL AND text IS NOT NULL")
         self.bands, self.chance, self.miss, self.count_bits, self.part_entries = bands, chance, miss, count_bits, part_entries
@@ -275,7 +289,7 @@ class NearDuplicates:
         """
         spark = self.docs.sparkSession
         counts, n = count_words(self.docs, self.count_bits)
-        sent = spark.sparkContext.broadcast(counts)  # 4 << count_bits bytes, whatever the data
+        sent = spark.sparkContext.broadcast(counts)  # 1 << count_bits bytes, whatever the data
         parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * self.bands / self.part_entries))
         min_words, bands, chance = self.min_words, self.bands, self.chance
         share, miss = self.share, self.miss
@@ -285,15 +299,18 @@ class NearDuplicates:
                 h, sizes, starts, ids, _ = _sets(b.column(1), min_words)
                 if not len(ids):
                     continue
-                band = band_hashes(h, starts, sent.value, n, bands, chance)
+                band, alive = band_hashes(h, starts, sent.value, n, bands, chance)
                 sig = signatures(h, starts)
                 _, first = np.unique(ids, return_index=True)  # copies within the batch go once
                 e = np.empty((len(first), bands), ENTRY)
                 e["hash"], e["id"], e["n"] = band[first] & U(0xFFFFFFFF), ids[first, None], np.minimum(sizes[first, None], SIZES - 1)
                 for i in range(4):
                     e[f"s{i}"] = sig[first, i, None]
-                part = ((band[first] >> U(32)) % U(parts)).astype(np.int64).reshape(-1)
-                e = e.reshape(-1)
+                use = alive[first].reshape(-1)
+                part = ((band[first] >> U(32)) % U(parts)).astype(np.int64).reshape(-1)[use]
+                e = e.reshape(-1)[use]
+                if not len(e):
+                    continue
                 order = np.argsort(part, kind="stable")
                 e, part = e[order], part[order]
                 cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
