@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.plans import integrity
+from millrace.plans import conversation, evaluation, integrity, lexical, storage, texts, vectors
 
-MODULES = (integrity,)
-FLAGSHIP = "p2_report"
+MODULES = (integrity, texts, lexical, vectors, evaluation, conversation, storage)
+FLAGSHIP = "hybrid_rrf_quora"
 
 
 def queries() -> dict:
