@@ -69,12 +69,20 @@ def medical(text: Column | str, training: bool = False) -> Column:
     return cl.without(F.filter(t, lambda x: x.rlike("^[a-z]+$")), wl.STOP_SERVING)
 
 
-def enhanced(text: Column | str, stop: Sequence[str] = wl.STOP_ENGLISH) -> Column:
-    """T12, T18-T21 in order: negations marked, numbers and stop words dropped, key phrases added, each token once."""
-    cleaned = cl.clean(text, cl.enhanced_base())
+def enhanced_tokens(docs: DataFrame, text: str, name: str = "tokens", stop: Sequence[str] = wl.STOP_ENGLISH) -> DataFrame:
+    """T12, T18-T21 in order: negations marked, numbers and stop words dropped, key phrases added, each token once.
+
+    On a table rather than a column: the decomposition runs in Python and must not end up inside a lambda.
+    """
+    d = docs.withColumn("__n", cl.nfkd(F.coalesce(text, F.lit(""))))
+    cleaned = cl.clean("__n", cl.enhanced_base()[1:])
     t = cl.numeric_rule(cl.mark_negations(cl.split_words(cleaned)))
     t = cl.without(t, _keeping(stop, wl.KEEP_ENHANCED))
-    return F.array_distinct(F.concat(t, cl.key_phrases(cleaned)))
+    return d.withColumn(name, F.array_distinct(F.concat(t, cl.key_phrases(cleaned)))).drop("__n")
+
+
+def _joined(tokens: Column, n: int) -> Callable[[Column], Column]:
+    return lambda i: F.array_join(F.slice(tokens, i, n), " ")
 
 
 def ngrams(tokens: Column, low: int = 1, high: int = 1) -> Column:
@@ -86,7 +94,7 @@ def ngrams(tokens: Column, low: int = 1, high: int = 1) -> Column:
             continue
         last = F.size(tokens) - (n - 1)
         starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")))
+        parts.append(F.transform(starts, _joined(tokens, n)))
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
@@ -100,7 +108,6 @@ TOKENIZERS: dict[str, Callable[[Column | str], Column]] = {
     "alphanumeric": alphanumeric,
     "medical": medical,
     "medical_training": lambda c: medical(c, True),
-    "enhanced": enhanced,
 }
 
 

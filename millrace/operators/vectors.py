@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from millrace.operators.ranking import dot, norm, top_k, unit
 
 BROADCAST_QUERIES = 20_000
+PROBED_SHARE = 0.6
 
 
 def normalised(vectors: DataFrame, vector: str = "vector") -> DataFrame:
@@ -99,13 +100,20 @@ def expression_search(queries: DataFrame, corpus: DataFrame, k: int) -> DataFram
 
 
 def cell_counts(n: int) -> tuple[int, int]:
-    """Number of cells and of cells probed for n vectors; at least one cell is probed."""
+    """Number of cells and of cells probed for n vectors; at least one cell is probed.
+
+    This is the published rule. On vectors without clusters it misses a quarter of the neighbours; see Cells.
+    """
     cells = max(1, min(4096, int(math.sqrt(n))))
     return cells, max(1, min(32, cells // 4))
 
 
 class Cells:
-    """An inverted file over k-means cells. Fitted on at most fit_rows vectors; every vector is indexed."""
+    """An inverted file over k-means cells. Fitted on at most fit_rows vectors; every vector is indexed.
+
+    probes: cells looked into for a query; by default the published rule. PROBED_SHARE of the cells gives a recall of
+    0.9 and more on vectors that hardly cluster.
+    """
 
     def __init__(self, corpus: DataFrame, fit_rows: int = 100_000, seed: int = 7, cells: int | None = None, probes: int | None = None):
         corpus = corpus.select("doc_id", unit("vector").alias("vector")).filter("vector IS NOT NULL")
@@ -137,7 +145,7 @@ class Cells:
         return top_k(scored, k).select("query_id", "rank", "doc_id", "score")
 
 
-def projection_search(queries: DataFrame, corpus: DataFrame, k: int, reach: float = 1.2, tables: int = 4, bucket: float = 1.0, seed: int = 7) -> DataFrame:
+def projection_search(queries: DataFrame, corpus: DataFrame, k: int, reach: float = 1.35, tables: int = 12, bucket: float = 0.8, seed: int = 7) -> DataFrame:
     """An approximate join by random projections. It stands where the original has a navigable graph; it is none."""
     d = corpus.select("doc_id", unit("vector").alias("v")).filter("v IS NOT NULL").withColumn("features", array_to_vector("v"))
     q = queries.select("query_id", unit("vector").alias("v")).filter("v IS NOT NULL").withColumn("features", array_to_vector("v"))

@@ -83,7 +83,8 @@ FUNCTIONS = (
 )
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
-_NOT_EMPTY = "coalesce(text, '') NOT IN ('', '0', 'false') AND trim(text) <> ''"
+_STRIPPED = sq.clean("text", [("strip",)])
+_NOT_EMPTY = f"coalesce(text, '') NOT IN ('', '0', 'false') AND {_STRIPPED} <> ''"
 SQL = {
     "last_wins_hits": "SELECT query_id, doc_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY id DESC) AS n FROM search_results) WHERE n = 1",
     "upsert_judgments": """WITH t AS (SELECT id, query_id, doc_id, relevance FROM qrels WHERE doc_id IS NOT NULL),
@@ -98,7 +99,7 @@ SELECT * FROM b UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM b WHER
  round(avg(length(text)), 6) AS mean_chars, max(length(text)) AS max_chars, min(length(text)) AS min_chars FROM quora_docs""",
     "index_validation": f"""WITH {sq.tfidf(lx.DEFAULT)} SELECT (SELECT count(DISTINCT term) FROM w) AS n_terms, (SELECT count(*) FROM v) AS n_vocabulary, (SELECT count(DISTINCT doc_id) FROM w) AS n_indexed,
  (SELECT n FROM nd) AS n_docs, 0 AS unknown_terms, 0 AS unknown_docs, 0 AS off_length, TRUE AS ok""",
-    "fields_normalised": f"SELECT CAST(doc_id AS VARCHAR) AS id, trim(text) AS text, title FROM documents WHERE {_NOT_EMPTY}",
+    "fields_normalised": f"SELECT CAST(doc_id AS VARCHAR) AS id, {_STRIPPED} AS text, title FROM documents WHERE {_NOT_EMPTY}",
     "documents_scan": "SELECT doc_id, n_chars FROM documents WHERE text IS NOT NULL",
     "document_positions": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents",
     "event_sessions": """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL),

@@ -75,7 +75,7 @@ QUERIES["distinct_tokens"] = _one("tokens", lambda c: F.array_join(F.array_disti
 SQL["distinct_tokens"] = f"""WITH b AS (SELECT id, {_BASE["evaluation"]} AS ts FROM quora_docs)
 SELECT id, array_to_string(list_filter(ts, lambda t, i: list_position(ts, t) = i), ' ') AS tokens FROM b"""
 QUERIES["numeric_tokens"] = _one("tokens", lambda c: F.array_join(cl.numeric_rule(tk.alphanumeric(c)), " "))
-SQL["numeric_tokens"] = _tokens_sql(sq.kept(_BASE["evaluation"], "length(t) > 1 AND (NOT regexp_full_match(t, '[0-9]+') OR (length(t) = 4 AND CAST(t AS INT) BETWEEN 1000 AND 2100))"))
+SQL["numeric_tokens"] = _tokens_sql(sq.kept(_BASE["evaluation"], "length(t) > 1 AND (NOT regexp_full_match(t, '[0-9]+') OR (length(t) = 4 AND TRY_CAST(t AS INT) BETWEEN 1000 AND 2100))"))
 QUERIES["bigrams"] = _one("grams", lambda c: F.array_join(tk.ngrams(tk.simple(c), 1, 2), "|"))
 SQL["bigrams"] = f"WITH b AS (SELECT id, {sq.simple_tokens('text')} AS ts FROM quora_docs) SELECT id, array_to_string({sq.ngram_lists('ts', 1, 2)}, '|') AS grams FROM b"
 
@@ -99,7 +99,11 @@ def stop_words_removed(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("id", F.array_join(cl.without(tk.alphanumeric("text"), wl.STOP_ENGLISH), " ").alias("tokens"))
 
 
-QUERIES |= {f.__name__: f for f in (token_counts, cleaning_stats, stemmed_tokens, stop_words_removed)}
+def tokens_enhanced(spark: SparkSession, d: str) -> DataFrame:
+    return tk.enhanced_tokens(_docs(spark, d), "text").select("id", F.array_join("tokens", " ").alias("tokens"))
+
+
+QUERIES |= {f.__name__: f for f in (tokens_enhanced, token_counts, cleaning_stats, stemmed_tokens, stop_words_removed)}
 SQL["token_counts"] = _sql("n_tokens", f"len({sq.simple_tokens('text')})")
 _MEDICAL = sq.clean("text", cl.medical_base())
 SQL["cleaning_stats"] = f"""SELECT id, length(coalesce(text, '')) AS original_length, length({_MEDICAL}) AS cleaned_length,

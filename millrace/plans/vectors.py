@@ -6,6 +6,8 @@ document stands for its title as text and for its vector, so one query set has b
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,19 +55,30 @@ def vector_lengths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.round(norm("embedding"), 6).alias("length"), F.round(norm(unit("embedding")), 6).alias("unit_length"))
 
 
+def _cells(c: DataFrame) -> vectors.Cells:
+    return vectors.Cells(c, probes=math.ceil(vectors.PROBED_SHARE * vectors.cell_counts(c.count())[0]))
+
+
 def ivf_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(vectors.Cells(_corpus(spark, d)).search(_queries(spark, d), 10))
+    return _rounded(_cells(_corpus(spark, d)).search(_queries(spark, d), 10))
 
 
 def ivf_recall(spark: SparkSession, d: str) -> DataFrame:
     q, c = _queries(spark, d), _corpus(spark, d)
-    return vectors.recall_against(vectors.Cells(c).search(q, 10), vectors.flat_search(q, c, 10))
+    exact = vectors.flat_search(q, c, 10)
+    rule = vectors.recall_against(vectors.Cells(c).search(q, 10), exact).withColumn("probes", F.lit("rule"))
+    return rule.unionByName(vectors.recall_against(_cells(c).search(q, 10), exact).withColumn("probes", F.lit("share")))
 
 
 def lsh_topk(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(vectors.projection_search(_queries(spark, d), _corpus(spark, d), 10))
 
 
+def lsh_recall(spark: SparkSession, d: str) -> DataFrame:
+    q, c = _queries(spark, d), _corpus(spark, d)
+    return vectors.recall_against(vectors.projection_search(q, c, 10), vectors.flat_search(q, c, 10))
+
+
 def vector_similarity_stats(spark: SparkSession, d: str) -> DataFrame:
     s = retrieve.similarity_stats(vectors.flat_search(_queries(spark, d), _corpus(spark, d), 1_000_000))
     return s.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "max", "min")])
@@ -117,7 +130,7 @@ def doc_alignment(spark: SparkSession, d: str) -> DataFrame:
 
 
 FUNCTIONS = (
-    vector_cosine_topk, vector_expression_topk, vector_positive_only, vector_dot_topk, vector_l2_topk, vector_lengths, ivf_topk, ivf_recall, lsh_topk, vector_similarity_stats,
+    vector_cosine_topk, vector_expression_topk, vector_positive_only, vector_dot_topk, vector_l2_topk, vector_lengths, ivf_topk, ivf_recall, lsh_topk, lsh_recall, vector_similarity_stats,
     hybrid_rrf_quora, hybrid_rrf_antique, hybrid_rrf_deep, min_max_scores, doc_alignment,
 )
 QUERIES = {f.__name__: f for f in FUNCTIONS}

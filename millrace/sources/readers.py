@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.cleaning import clean
+
 # The columns that may hold a text or an identifier, in order of preference.
 TEXT_FIELDS = ("text", "content", "body", "document", "passage", "answer")
 ID_FIELDS = ("id", "doc_id", "document_id", "qid", "pid")
@@ -74,7 +76,7 @@ def normalise(rows: DataFrame) -> DataFrame:
     text_name = F.coalesce(*[F.when(~F.coalesce(F.try_element_at("fields", F.lit(f)), F.lit("")).isin("", "0", "false"), F.lit(f)) for f in TEXT_FIELDS])
     id_name = F.coalesce(*[F.when(~F.coalesce(F.try_element_at("fields", F.lit(f)), F.lit("")).isin("", "0", "false"), F.lit(f)) for f in ID_FIELDS])
     out = rows.select("fields", "position", text_name.alias("tn"), id_name.alias("in"))
-    text = F.trim(F.try_element_at("fields", F.col("tn")))
+    text = clean(F.try_element_at("fields", F.col("tn")), [("strip",)])
     key = F.coalesce(F.try_element_at("fields", F.col("in")), F.col("position").cast("string"))
     rest = F.map_filter("fields", lambda k, v: (k != F.col("tn")) & F.coalesce(k != F.col("in"), F.lit(True)))
     return out.filter("tn IS NOT NULL").select(key.alias("id"), text.alias("text"), rest.alias("metadata")).filter("text <> ''")
