@@ -17,6 +17,7 @@ from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from millrace.operators.ranking import dot, norm, top_k, unit
 
@@ -52,7 +53,8 @@ def _flat(queries: DataFrame, corpus: DataFrame, k: int, metric: str) -> DataFra
     rows = [(r["query_id"], r["vector"]) for r in queries.select("query_id", "vector").filter("vector IS NOT NULL").toLocalIterator()]
     spark = corpus.sparkSession
     kinds = dict(queries.dtypes), dict(corpus.dtypes)
-    q = np.array([v for _, v in rows], np.float64).reshape(len(rows), -1)
+    id_type = to_arrow_type(queries.schema["query_id"].dataType)
+    q = np.array([v for _, v in rows], np.float64) if rows else np.zeros((0, 1))
     lengths = np.sqrt((q * q).sum(axis=1))
     if metric == "cosine":
         ok = lengths > 0
@@ -80,7 +82,7 @@ def _flat(queries: DataFrame, corpus: DataFrame, k: int, metric: str) -> DataFra
                 i, j = np.nonzero(s >= least)
             else:
                 i, j = np.indices(s.shape).reshape(2, -1)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a in i.tolist()]), b.column(0).take(pa.array(j)), pa.array(s[i, j])], ["query_id", "doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a in i.tolist()], id_type), b.column(0).take(pa.array(j)), pa.array(s[i, j])], ["query_id", "doc_id", "score"])
 
     usable = corpus.select("doc_id", "vector").filter("vector IS NOT NULL")
     if metric == "cosine":
