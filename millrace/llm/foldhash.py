@@ -129,17 +129,17 @@ def fingerprints(docs: DataFrame, key: str, text: str, min_words: int, labels: S
 def collapse_copies(docs: DataFrame, key: str, text: str, min_words: int = 5, labels: Sequence[str] = LABELS, marks: str = MARKS) -> DataFrame:
     """(key, n_copies): the smallest key and the number of keys of each text that two or more keys have."""
     rows = fingerprints(docs, key, text, min_words, labels, marks)
-    # A plain text with the very words of a record takes the record's hash.
-    records = rows.filter("record").groupBy("p1", "p2").agg(F.min(F.struct("h1", "h2")).alias("r"))
-    records = records.select(F.col("p1").alias("h1"), F.col("p2").alias("h2"), F.col("r.h1").alias("r1"), F.col("r.h2").alias("r2"))
+    # A plain text with the very words of a record takes the record's hash, and is verified against that record.
+    records = rows.filter("record").groupBy("p1", "p2").agg(F.min(F.struct("h1", "h2", "text")).alias("r"))
+    records = records.select(F.col("p1").alias("h1"), F.col("p2").alias("h2"), F.col("r.h1").alias("r1"), F.col("r.h2").alias("r2"), F.col("r.text").alias("via"))
     keys = rows.select("h1", "h2", "key").distinct()
     firsts = keys.groupBy("h1", "h2").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n"))
-    to = firsts.join(records, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("r1", "h1").alias("g1"), F.coalesce("r2", "h2").alias("g2"), "rep", "n")
-    groups = to.groupBy("g1", "g2").agg(F.min("rep").alias("rep"), F.sum("n").alias("n")).filter("n > 1").select("g1", "g2", "rep")
-    groups = to.select("h1", "h2", "g1", "g2").join(groups, ["g1", "g2"])
+    to = firsts.join(records, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("r1", "h1").alias("g1"), F.coalesce("r2", "h2").alias("g2"), "rep", "n", "via")
+    groups = to.groupBy("g1", "g2").agg(F.sum("n").alias("n"), F.min(F.when(F.col("via").isNull(), F.col("rep"))).alias("rep")).filter("n > 1").select("g1", "g2", "rep")
+    groups = to.select("h1", "h2", "g1", "g2", "via").join(groups, ["g1", "g2"])
     members = rows.select("key", "text", "h1", "h2").join(groups, ["h1", "h2"])
-    texts = members.filter("key = rep").groupBy("g1", "g2").agg(F.min("text").alias("rep_text"))
-    both = members.join(texts, ["g1", "g2"]).select("g1", "g2", "key", "text", "rep_text")
+    texts = members.filter("key = rep AND via IS NULL").groupBy("g1", "g2").agg(F.min("text").alias("rep_text"))
+    both = members.join(texts, ["g1", "g2"]).select("g1", "g2", "key", "text", F.coalesce("via", "rep_text").alias("rep_text"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
