@@ -141,12 +141,13 @@ def count_words(docs: DataFrame, bits: int) -> tuple[np.ndarray, int]:
     return table.reshape(-1), max([0, *(r["n"] for r in got)])
 
 
-def band_hashes(h: np.ndarray, starts: np.ndarray, codes: np.ndarray, n: int, bands: int, chance: float) -> tuple[np.ndarray, np.ndarray]:
+def band_hashes(words: np.ndarray, back: np.ndarray, starts: np.ndarray, codes: np.ndarray, n: int, bands: int, chance: float) -> tuple[np.ndarray, np.ndarray]:
     """[row, band] hashes of the weighted sketch's registers, and whether another text can have the same.
 
+    words holds the different words of a batch, back the place in it of every word of every row.
+
     A band in which a word wins that occurs once in the corpus is no other text's.
     """
-    words, back = np.unique(h, return_inverse=True)
     code = codes[_slot(words, int(codes.size).bit_length() - 1)].astype(np.int64)
     weight = np.log1p(n / 2.0 ** ((np.maximum(code, 1) - 1) / 8))
     # the winner's share of the texts goes along with the register, in eighths of a power of two; 255 marks once
@@ -167,24 +168,25 @@ def band_hashes(h: np.ndarray, starts: np.ndarray, codes: np.ndarray, n: int, ba
         on = np.ones(len(starts), bool)
         for r in run:
             v = top[:, r]
-            acc = np.where(on, ts.mix(acc ^ v.astype(U) * U(0xD1B54A32D192ED03)), acc)
+            at = np.flatnonzero(on)
+            v = v[at]
+            acc[at] = ts.mix(acc[at] ^ v.astype(U) * U(0xD1B54A32D192ED03))
             low = v & np.uint32(255)
-            alive[:, b] &= ~on | (low != 255)
-            got += np.where(on, low, 0)
-            on &= got < goal
+            alive[at[low == 255], b] = False
+            got[at] += low
+            on[at] = (got[at] < goal) & (low != 255)
             if not on.any():
                 break
         out[:, b] = acc
     return out, alive
 
 
-def signatures(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def signatures(words: np.ndarray, back: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """[row, 4]: one bit of each of 256 unweighted registers.
 
     Here b is as near to 1 as the hash is fine: the register is then in effect the largest hash itself, K being a
     monotone function of it, and no logarithm is needed.
     """
-    words, back = np.unique(h, return_inverse=True)
     seeds = ts.mix(np.arange(REGISTERS, REGISTERS + SIGNATURE, dtype=np.uint64)) | U(1)
     bits = []
     for at in range(0, SIGNATURE, STRIP):
@@ -299,8 +301,9 @@ class NearDuplicates:
                 h, sizes, starts, ids, _ = _sets(b.column(1), min_words)
                 if not len(ids):
                     continue
-                band, alive = band_hashes(h, starts, sent.value, n, bands, chance)
-                sig = signatures(h, starts)
+                words, back = np.unique(h, return_inverse=True)
+                band, alive = band_hashes(words, back, starts, sent.value, n, bands, chance)
+                sig = signatures(words, back, starts)
                 _, first = np.unique(ids, return_index=True)  # copies within the batch go once
                 e = np.empty((len(first), bands), ENTRY)
                 e["hash"], e["id"], e["n"] = band[first] & U(0xFFFFFFFF), ids[first, None], np.minimum(sizes[first, None], SIZES - 1)
