@@ -17,7 +17,7 @@ maxima of the registers, and two sets agree in a register the more often the mor
 
 Texts with the same set of words share one identifier (a 64-bit hash of the set) and go through 2-4 once. They are made
 one within a batch before anything is shuffled, so a text with a third of all copies costs one entry a batch and band.
-Entries are shuffled as packed binary blocks, 45 bytes an entry, into as many parts as their number asks for. Buckets
+Entries are shuffled as packed binary blocks, 44 bytes an entry, into as many parts as their number asks for. Buckets
 are compared in square blocks of bounded size, none is cut.
 
 Defined cases: null and empty texts and those of fewer than min_words different words have no partner; a key delivered
@@ -306,7 +306,7 @@ class NearDuplicates:
                 sig = signatures(words, back, starts)
                 _, first = np.unique(ids, return_index=True)  # copies within the batch go once
                 e = np.empty((len(first), bands), ENTRY)
-                e["hash"], e["id"], e["n"] = band[first] & U(0xFFFFFFFF), ids[first, None], np.minimum(sizes[first, None], SIZES - 1)
+                e["hash"], e["id"], e["n"] = band[first] & U(0xFFFFFF), ids[first, None], np.minimum(sizes[first, None], SIZES - 1)
                 for i in range(4):
                     e[f"s{i}"] = sig[first, i, None]
                 use = alive[first].reshape(-1)
@@ -436,14 +436,20 @@ class _Texts:
         return self.texts.take(pa.array(self.order[np.searchsorted(self.known, ids)]))
 
 
+#: A part holds about as many entries at any size, so 24 bits of a band's hash tell its buckets apart; a rare mixture of
+#: two only adds comparisons.
 def _pack(e: np.ndarray) -> list[bytes]:
-    return [np.uint32(len(e)).tobytes(), *(np.ascontiguousarray(e[f]).tobytes() for f in ENTRY.names)]
+    short = np.ascontiguousarray(e["hash"]).view(np.uint8).reshape(-1, 4)[:, :3]
+    return [np.uint32(len(e)).tobytes(), short.tobytes(), *(np.ascontiguousarray(e[f]).tobytes() for f in ENTRY.names[1:])]
 
 
 def _unpack(raw: bytes) -> np.ndarray:
     k = int(np.frombuffer(raw, np.uint32, 1)[0])
-    e, at = np.empty(k, ENTRY), 4
-    for f in ENTRY.names:
+    e, at = np.zeros(k, ENTRY), 4 + 3 * k
+    short = np.zeros((k, 4), np.uint8)
+    short[:, :3] = np.frombuffer(raw, np.uint8, 3 * k, 4).reshape(-1, 3)
+    e["hash"] = short.view(np.uint32)[:, 0]
+    for f in ENTRY.names[1:]:
         kind = ENTRY.fields[f][0]
         e[f] = np.frombuffer(raw, kind, k, at)
         at += k * kind.itemsize
