@@ -49,7 +49,8 @@ class Engine:
     active: str | None = None
 
     def __post_init__(self) -> None:
-        self.tokenised = self.docs.select("doc_id", self.profile.tokenizer("text").alias("tokens"))
+        # by document first: counts and norms then need no other shuffle
+        self.tokenised = self.docs.select("doc_id", "text").repartition("doc_id").select("doc_id", self.profile.tokenizer("text").alias("tokens"))
         self.model = tf.fit(self.tokenised, "tokens", self.profile.config)
         self.index = tf.weights(self.tokenised, "tokens", self.model)
 

@@ -4,8 +4,9 @@ A vocabulary is (term, df, cf, idf); weights are (doc_id, term, tf, weight), one
 document. An inverted index is the same table read by term. Null texts count as documents without terms: they are part
 of the document number, as is any document all of whose terms are pruned.
 
-Shuffles: one by (document, term) for counts, one by term for the vocabulary; the vocabulary joins by broadcast if its
-measured number of rows is at most BROADCAST_TERMS, else by term; one by document for the norms.
+Shuffles: counts go by (document, term), unless the documents come partitioned by their key: then counting and the norms
+stay in place. One by term for the vocabulary, which joins by broadcast if its measured number of rows is at most
+BROADCAST_TERMS, else by term.
 """
 
 from __future__ import annotations
@@ -58,9 +59,12 @@ class Model:
 
 
 def term_counts(docs: DataFrame, tokens: str, config: Config, key: str = "doc_id") -> DataFrame:
-    """(key, term, tf)"""
+    """(key, term, tf)
+
+    An outer explode: from an inner one the optimizer infers a filter on the array's size and tokenizes twice.
+    """
     terms = ngrams(F.col(tokens), config.low, config.high)
-    return docs.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return docs.select(key, F.explode_outer(terms).alias("term")).filter("term IS NOT NULL").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(counts: DataFrame, n_docs: int, config: Config) -> DataFrame:

@@ -20,7 +20,8 @@ QUORA, ANTIQUE, DEFAULT = tf.CONFIGS["quora"], tf.CONFIGS["antique"], tf.CONFIGS
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", tk.simple("text").alias("tokens"))
+    """Partitioned by document before tokenizing, so that counts and norms by document need no other shuffle."""
+    return table(spark, d, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", tk.simple("text").alias("tokens"))
 
 
 def search_queries(spark: SparkSession, d: str) -> DataFrame:

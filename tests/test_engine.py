@@ -20,7 +20,7 @@ def test_methods(engine, question):
     assert [r["doc_id"] for r in engine.search(question, "tfidf").orderBy("rank").collect()][0] == "3"
     assert [r["doc_id"] for r in engine.search(question, "embedding", 2).orderBy("rank").collect()] == ["1", "3"]
     h = engine.search(question, "auto", 2, texts=True).orderBy("rank").collect()
-    assert [r["doc_id"] for r in h] == ["3", "1"] and h[0]["text"] == "kettle descaling guide"
+    assert [r["doc_id"] for r in h] == ["1", "3"] and h[1]["text"] == "kettle descaling guide"
     with pytest.raises(ValueError):
         engine.search(question, "bm25")
 
