@@ -144,26 +144,32 @@ def _build(code: np.ndarray, label: np.ndarray, languages: tuple[str, ...]) -> M
     return Model(languages, grams, (products / np.sqrt(DIMENSIONS)).astype(np.float32))
 
 
+def scores(code: np.ndarray, of: np.ndarray, n: int, m: Model) -> np.ndarray:
+    """[sentence, language]: products of the sentences' vectors with the prototypes."""
+    out = np.zeros((n, len(m.languages)))
+    if len(m.grams) and len(code):
+        at = np.searchsorted(m.grams, code)
+        at[at == len(m.grams)] = 0
+        hit = m.grams[at] == code
+        at, who = at[hit], of[hit]
+        for k in range(len(m.languages)):
+            out[:, k] = np.bincount(who, m.products[at, k], minlength=n)
+    return out
+
+
 def cosines(sentences: Sequence[str], m: Model) -> np.ndarray:
     """[sentence, language]"""
-    out = np.zeros((len(sentences), len(m.languages)))
-    if not sentences or not len(m.grams):
-        return out
-    code, of = gram_codes(sentences)
-    if not len(code):
-        return out
-    at = np.searchsorted(m.grams, code)
-    at[at == len(m.grams)] = 0
-    hit = m.grams[at] == code
-    for k in range(len(m.languages)):
-        out[:, k] = np.bincount(of[hit], m.products[at[hit], k], minlength=len(sentences))
-    # length of each sentence's vector over sqrt(DIMENSIONS): root of the sum of squared n-gram counts
-    order = np.lexsort((code, of))
-    c, o = code[order], of[order]
-    first = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (o[1:] != o[:-1])])
-    n = np.diff(np.r_[first, len(c)])
-    length = np.sqrt(np.bincount(o[first], n.astype(float) ** 2, minlength=len(sentences)))
-    return out / np.maximum(length, 1e-9)[:, None]
+    n = len(sentences)
+    code, of = gram_codes(sentences) if n else (np.zeros(0, np.int64),) * 2
+    out = scores(code, of, n, m)
+    if len(code):
+        # length of each sentence's vector over sqrt(DIMENSIONS): root of the sum of squared n-gram counts
+        both = np.sort(of << BITS * N | code)
+        first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+        times = np.diff(np.r_[first, len(both)]).astype(float)
+        length = np.sqrt(np.bincount(both[first] >> BITS * N, times**2, minlength=n))
+        out /= np.maximum(length, 1e-9)[:, None]
+    return out
 
 
 def train(texts: Sequence[str], labels: Sequence[str], languages: tuple[str, ...] = LANGUAGES, min_words: int = 6) -> Model:
@@ -181,23 +187,27 @@ def train(texts: Sequence[str], labels: Sequence[str], languages: tuple[str, ...
     code, of = gram_codes(sentences)
     m = _build(code, lab[of], languages)
     for _ in range(2):
-        c = cosines(sentences, m)
-        good = c.argmax(axis=1) == lab
+        good = scores(code, of, len(lab), m).argmax(axis=1) == lab
         use = good[of]
         m = _build(code[use], lab[of][use], languages)
     return m
 
 
+def _plain(w: str) -> bool:
+    """Whether a token tells of its language; most are seen at once to have no sign four times."""
+    return (w.isalpha() and len(set(w)) > len(w) - 3) or not NO_WORD.search(w)
+
+
 def telling(text: str) -> str:
     """The text without tokens that tell nothing of its language."""
-    return " ".join(w for w in text.split() if not NO_WORD.search(w)) if NO_WORD.search(text) else text
+    return " ".join(w for w in text.split() if _plain(w)) if NO_WORD.search(text) else text
 
 
 def count_words(text: str) -> int:
     """Words of a sentence, whole numbers included; addresses, codes and the like are none."""
     if not NO_WORD.search(text):
         return len(WORD.findall(text))
-    return sum(len(WORD.findall(w)) if not NO_WORD.search(w) else w.strip(".,;:!?»").isdigit() for w in text.split())
+    return sum(len(WORD.findall(w)) if _plain(w) else w.strip(".,;:!?»").isdigit() for w in text.split())
 
 
 def sentences_of(text: str) -> list[tuple[int, int, str, int]]:

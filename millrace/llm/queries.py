@@ -14,7 +14,7 @@ from millrace.llm.foldhash import collapse_copies
 from millrace.llm.mixture import Mixture
 from millrace.llm.setsketch import NearDuplicates
 from millrace.llm.topn import top_n_per_group
-from millrace.session import table
+from millrace.session import spread, table
 
 
 #: Makes every BIGINT a number of at most 20 digits that is not negative.
@@ -31,7 +31,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return collapse_copies(table(spark, d, "quora_docs"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+    return collapse_copies(spread(table(spark, d, "quora_docs").select("doc_id", "text")), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -64,11 +64,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode_corpus(table(spark, d, "documents"), "doc_id", "text")
+    return encode_corpus(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def _mixture(spark: SparkSession, d: str) -> Mixture:
-    sized = count_tokens(table(spark, d, "documents"), ["doc_id", "source"], "text")
+    sized = count_tokens(spread(table(spark, d, "documents").select("doc_id", "source", "text")), ["doc_id", "source"], "text")
     return Mixture(sized, table(spark, d, "mix_targets"), "doc_id", "source", of_corpus=0.5)
 
 
@@ -81,7 +81,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _documents_and_model(spark: SparkSession, d: str):
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "lang"))
     return docs, langid.fit(docs, "doc_id", "text", "lang")
 
 
