@@ -53,3 +53,8 @@ def dataset_catalog(docs: DataFrame, dataset: str, indexed: DataFrame | None = N
     hit = docs.join(indexed.select("doc_id").distinct(), "doc_id", "left_semi").groupBy(F.col(dataset).alias("dataset")).agg(F.count(F.lit(1)).alias("indexed_count"))
     j = n.join(hit, n["dataset"].eqNullSafe(hit["dataset"]), "left").select(n["dataset"], "document_count", F.coalesce("indexed_count", F.lit(0)).alias("indexed_count"))
     return j.withColumn("indexed", F.col("indexed_count") > 0)
+
+
+def is_current(index: DataFrame, docs: DataFrame, key: str = "doc_id") -> bool:
+    """Whether a stored index (or cache) has a row for as many keys as the documents have."""
+    return index.select(key).distinct().count() == docs.select(key).distinct().count()

@@ -78,3 +78,9 @@ def aligned(lexical_ids: DataFrame, vector_ids: DataFrame) -> DataFrame:
 def cut_then_keep(arm: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """The arm is cut first, then restricted, so it may be short."""
     return arm.filter(F.col("rank") <= k).join(ids, "doc_id", "left_semi")
+
+
+def lifted(arm: DataFrame, least: float = 0.001) -> DataFrame:
+    """Where all scores of a query are 0, all become a small score, so that fusion has something to work with."""
+    w = Window.partitionBy("query_id")
+    return arm.withColumn("score", F.when((F.max("score").over(w) == 0) & (F.min("score").over(w) == 0), F.lit(least)).otherwise(F.col("score")))

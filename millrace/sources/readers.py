@@ -135,3 +135,8 @@ def positions(docs: DataFrame, order: str) -> DataFrame:
     before = sizes.withColumn("__b", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).select("__p", "__b")
     w = Window.partitionBy("__p").orderBy(order)
     return ranged.join(F.broadcast(before), "__p").withColumn("position", F.col("__b") + F.row_number().over(w) - 1).drop("__p", "__b")
+
+
+def decoded(store: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Columns that hold JSON text, by the type they are to have; what doesn't parse becomes null."""
+    return store.withColumns({c: F.from_json(c, t) for c, t in columns.items()})

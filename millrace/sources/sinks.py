@@ -35,6 +35,17 @@ def refresh(path: str, rows: DataFrame, keys: list[str], order: str) -> None:
     last_wins(rows, keys, order).write.mode("overwrite").parquet(path)
 
 
+def load_all(spark: SparkSession, folder: str, out: str) -> dict[str, int]:
+    """K6: documents, queries and judgments of a folder into stored tables, the last row of each key; gives their sizes."""
+    from millrace.sources import readers
+
+    sizes = {}
+    for name, rows, keys in zip(("docs", "queries", "qrels"), readers.collection(spark, folder), (["doc_id"], ["query_id"], ["query_id", "doc_id"])):
+        refresh(f"{out}/{name}", rows.withColumn("seq", F.monotonically_increasing_id()), keys, "seq")
+        sizes[name] = spark.read.parquet(f"{out}/{name}").count()
+    return sizes
+
+
 def set_column(table: DataFrame, key: str, name: str, values: DataFrame) -> DataFrame:
     """K7: add a column or update it by key where there is a new value."""
     new = values.select(key, F.col(name).alias("__new"))

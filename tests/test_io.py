@@ -121,3 +121,24 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     want = sorted(map(tuple, batches.counts_by_window(e).collect()))
     assert sorted(map(tuple, spark.sql("select cast(start as timestamp_ntz) as start, event_type, n_events from w").collect())) == want
+
+
+def test_load_all_and_decoding(spark, tmp_path):
+    (tmp_path / "docs.tsv").write_text("doc_id\ttext\n1\told\n2\tb\n1\tnew\n")
+    (tmp_path / "queries.tsv").write_text("query_id\ttext\nq\tx\n")
+    (tmp_path / "qrels.tsv").write_text("query_id\tdoc_id\trelevance\nq\t1\t0\nq\t1\t2\n")
+    assert sinks.load_all(spark, str(tmp_path), str(tmp_path / "out")) == {"docs": 2, "queries": 1, "qrels": 1}
+    assert spark.read.parquet(str(tmp_path / "out/docs")).filter("doc_id = '1'").first()["text"] == "new"
+    assert spark.read.parquet(str(tmp_path / "out/qrels")).first()["relevance"] == 2
+    df = spark.createDataFrame([('["a"]',), ("{",), (None,)], "tokens string")
+    assert [r["tokens"] for r in readers.decoded(df, {"tokens": "array<string>"}).collect()] == [["a"], None, None]
+
+
+def test_lifted_scores_and_currency(spark):
+    from millrace.operators import catalog, fuse
+
+    arm = spark.createDataFrame([("q", "a", 0.0), ("q", "b", 0.0), ("p", "a", 0.0), ("p", "b", 0.5)], "query_id string, doc_id string, score double")
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in fuse.lifted(arm).collect()}
+    assert got == {("q", "a"): 0.001, ("q", "b"): 0.001, ("p", "a"): 0.0, ("p", "b"): 0.5}
+    docs = spark.createDataFrame([("a",), ("b",)], "doc_id string")
+    assert catalog.is_current(arm, docs) and not catalog.is_current(arm.filter("doc_id = 'a'"), docs)
