@@ -120,7 +120,7 @@ def usable(vectors: DataFrame, key: str, vector: str, d: int) -> DataFrame:
 
 
 def most_similar(
-    vectors: DataFrame, key: str, vector: str, k: int = 5, least: float = 0.9, dimensions: int = 64, tables: int = 10, probes: int = 3, bucket_rows: int = 16, part_entries: int = 200_000
+    vectors: DataFrame, key: str, vector: str, k: int = 5, least: float = 0.9, dimensions: int = 64, tables: int = 8, probes: int = 2, bucket_rows: int = 16, part_entries: int = 200_000
 ) -> DataFrame:
     """(id, neighbour, similarity, place): the k most similar others of every usable vector, of cosine `least` or more.
 

@@ -68,7 +68,7 @@ class Model(NamedTuple):
 def declared_language(c: Column | str) -> Column:
     """The language a label names, however written; null if it names none of LANGUAGES."""
     low = F.lower(stripped(c))
-    head = F.regexp_extract(low, r"^(\p{L}+)(?:[-_].*)?$", 1)
+    head = F.regexp_extract(low, r"^(\p{L}+)", 1)
     out = F.lit(None).cast("string")
     for lang in LANGUAGES:
         out = F.when(head.isin(lang, *NAMES[lang]), F.lit(lang)).otherwise(out)
