@@ -13,7 +13,7 @@ class's members the k + 1 smallest identifiers are kept as its head, by partial
 partners from the heads: a third of all rows being one vector costs one entry.
 
 Defined cases: null vectors, those with a wrong number of coordinates, a null, NaN or infinite one, or all zero are not
-usable and have no partners; a repeated identifier counts once (the smallest vector in array order); ties in
+usable and have no partners; a repeated identifier counts once (the smallest packed vector); ties in
 similarity go to the smaller identifier; empty tables give empty results; other columns are ignored.
 """
 
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.textscan import mix
 from millrace.session import cut
 
 DIGITS = 6
@@ -111,12 +112,33 @@ def _best_in_bucket(e: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np
     return np.concatenate(a), np.concatenate(b)
 
 
-def usable(vectors: DataFrame, key: str, vector: str, d: int) -> DataFrame:
-    """(id, v): one usable vector for each identifier."""
-    v = F.col(vector).cast("array<double>")
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = vectors.select(F.col(key).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & (F.size("v") == d)).filter(F.coalesce(fine, F.lit(False)))
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
+def _rows(a: pa.Array, kind: str, d: int) -> np.ndarray:
+    """Packed vectors as rows of doubles."""
+    return np.frombuffer(b"".join(a.to_pylist()), kind).reshape(len(a), d).astype(np.float64)
+
+
+def usable(vectors: DataFrame, key: str, vector: str, d: int) -> tuple[DataFrame, str]:
+    """(id, form, v): one usable vector for each identifier, packed, and a number for its direction; and how it is packed."""
+    kind = "<f4" if "float" in dict(vectors.dtypes)[vector] else "<f8"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, v = b.column(0), b.column(1)
+            x = np.asarray(v.flatten().to_numpy(zero_copy_only=False), kind).reshape(-1, d)
+            length = np.linalg.norm(x.astype(np.float64), axis=1)
+            ok = np.flatnonzero(np.isfinite(x).all(axis=1) & np.isfinite(length) & (length > 0))
+            x, length = x[ok], length[ok]
+            cells = np.rint(x.astype(np.float64) / length[:, None] * 10**DIGITS).astype(np.int64).view(np.uint64)
+            form = (mix(cells + np.arange(1, d + 1, dtype=np.uint64)) * (2 * np.arange(d, dtype=np.uint64) + 1)).sum(axis=1, dtype=np.uint64)
+            packed = pa.array([r.tobytes() for r in x], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(ok)), pa.array(form.view(np.int64)), packed], ["id", "form", "v"])
+
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).filter(F.col("id").isNotNull() & (F.size("v") == d))
+    # nulls within arrays would shift the flat values
+    rows = rows.filter(~F.exists("v", lambda x: x.isNull()))
+    packed = rows.mapInArrow(run, "id long, form long, v binary")
+    one = packed.groupBy("id").agg(F.min(F.struct("v", "form")).alias("x"))
+    return one.select("id", "x.form", "x.v"), kind
 
 
 def most_similar(
@@ -129,9 +151,7 @@ def most_similar(
     """
     spark = vectors.sparkSession
     size = 1 << max(0, dimensions - 1).bit_length()
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    unit = usable(vectors, key, vector, dimensions).withColumn("norm", norm).select("id", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
-    unit = unit.withColumn("form", F.xxhash64(F.transform("v", lambda x: F.round(x, DIGITS) + F.lit(0.0))))
+    unit, packing = usable(vectors, key, vector, dimensions)
     unit = cut(unit)
     # classes of one direction; the first members are its head
     w = Window.partitionBy("form").orderBy("id")
@@ -148,7 +168,8 @@ def most_similar(
             for at in range(0, whole.num_rows, 4096):
                 b = whole.slice(at, 4096)
                 ids = b.column(0).to_numpy()
-                x = b.column(1).flatten().to_numpy().reshape(len(ids), dimensions)
+                x = _rows(b.column(1), packing, dimensions)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
                 scale = np.maximum(np.abs(x).max(axis=1), 1e-12) / 127
                 q = np.rint(x / scale[:, None]).astype(np.int8)
                 # |<x, y> - <x', y'>| is at most the sum of the two errors
@@ -188,8 +209,17 @@ def most_similar(
     pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     va = one.select(F.col("id").alias("a"), F.col("v").alias("va"))
     vb = one.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    exact = pairs.join(va, "a").join(vb, "b").select("a", "b", F.least(dot, F.lit(1.0)).alias("similarity")).filter(F.col("similarity") >= least)
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (_rows(b.column(i), packing, dimensions) for i in (2, 3))
+            c = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
+            c = np.minimum(np.round(c, 12), 1.0)
+            ok = np.flatnonzero(c >= least)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), b.column(1).take(pa.array(ok)), pa.array(c[ok])], ["a", "b", "similarity"])
+
+    both = pairs.join(va, "a").join(vb, "b").select("a", "b", "va", "vb")
+    exact = both.mapInArrow(rank, "a long, b long, similarity double")
     exact = cut(exact)
     both = exact.unionByName(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     near = both.withColumn("at", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).filter(F.col("at") <= k)
