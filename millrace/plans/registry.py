@@ -5,7 +5,7 @@ from __future__ import annotations
 from millrace.plans import conversation, evaluation, integrity, lexical, storage, texts, vectors
 
 MODULES = (integrity, texts, lexical, vectors, evaluation, conversation, storage)
-FLAGSHIP = "hybrid_rrf_quora"
+FLAGSHIP = "eval_per_query"
 
 
 def queries() -> dict:
