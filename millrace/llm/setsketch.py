@@ -10,14 +10,15 @@ maxima of the registers, and two sets agree in a register the more often the mor
    registers of this sketch, as many as it takes until the expected number of texts agreeing in them by chance, N times
    the product of the winning words' shares, is at most `chance`. Rare winners need one register, common ones several.
    A band won by a word that occurs once in the corpus can't be shared and isn't sent.
-3. Joint estimate. A second sketch, unweighted, is carried along as one bit of each of 256 registers. Within a
+3. Joint estimate. A second sketch, unweighted, is carried along as one bit of each of 256 registers; it leaves out
+   the words that occur once, which are never common. Within a
    bucket of a band, the likelihood of the number of equal registers under the least similarity that a true pair of
    these sizes can have is set against its quantile `miss`: pairs below it are dropped.
 4. Verifying. The pairs left are compared word by word.
 
 Texts with the same set of words share one identifier (a 64-bit hash of the set) and go through 2-4 once. They are made
 one within a batch before anything is shuffled, so a text with a third of all copies costs one entry a batch and band.
-Entries are shuffled as packed binary blocks, 44 bytes an entry, into as many parts as their number asks for. Buckets
+Entries are shuffled as packed binary blocks, 45 bytes an entry, into as many parts as their number asks for. Buckets
 are compared in square blocks of bounded size, none is cut.
 
 Defined cases: null and empty texts and those of fewer than min_words different words have no partner; a key delivered
@@ -48,7 +49,7 @@ B, Q, RATE = 1.001, (1 << 16) - 2, 4096  # RATE: log_b of the exponentials' comm
 REGISTERS = 96
 DEPTH = 8  # most registers in a band
 SIGNATURE = 256  # registers of one bit in the second sketch
-ENTRY = np.dtype([("hash", "<u4"), ("id", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("s2", "<u8"), ("s3", "<u8"), ("n", "u1")])
+ENTRY = np.dtype([("hash", "<u4"), ("id", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("s2", "<u8"), ("s3", "<u8"), ("n", "u1"), ("m", "u1")])  # n words, m of them not alone in the corpus
 SIZES = 256  # larger sets count as this large in the estimate, which only keeps more
 SLICES = 64
 STRIP = 20  # registers worked on at a time, for the processor's caches
@@ -81,16 +82,21 @@ def least_agreement(j: float, miss: float) -> int:
 
 
 @lru_cache(maxsize=8)
-def agreement_bounds(share: Fraction, miss: float, sizes: int) -> np.ndarray:
-    """[n_a, n_b] -> least number of equal signature registers for a pair to be kept; more than there are if the sizes rule it out.
+def agreement_bounds(miss: float) -> np.ndarray:
+    """Similarity in thousandths -> least number of equal signature registers for a pair to be kept."""
+    return np.array([least_agreement(k / 1000, miss) for k in range(1001)], np.uint16)
 
-    The similarity looked at is the least that a pair of these sizes with enough in common can have.
+
+def passes(equal: np.ndarray, na: np.ndarray, ma: np.ndarray, nb: np.ndarray, mb: np.ndarray, share: Fraction, bounds: np.ndarray) -> np.ndarray:
+    """Whether pairs of n words each, m of them in the signature, may have enough in common.
+
+    What is common is not alone in the corpus, so it is at most m; the similarity looked at is the least that signatures
+    of m_a and m_b words can have if enough is common.
     """
-    a, b = np.meshgrid(np.arange(sizes), np.arange(sizes), indexing="ij")
-    c = -(-share.numerator * np.maximum(a, b) // share.denominator)
-    j = np.floor(1000 * c / np.maximum(a + b - c, 1)).astype(int)
-    by_j = np.array([least_agreement(k / 1000, miss) for k in range(1001)], np.uint16)
-    return np.where(c <= np.minimum(a, b), by_j[np.clip(j, 0, 1000)], SIGNATURE + 1).astype(np.uint16)
+    na, ma, nb, mb = (x.astype(np.int32) for x in (na, ma, nb, mb))
+    c = -(-share.numerator * np.maximum(na, nb) // share.denominator)
+    j = 1000 * c // np.maximum(ma + mb - c, 1)
+    return (c <= np.minimum(ma, mb)) & (equal >= bounds[np.clip(j, 0, 1000)])
 
 
 def _sets(texts: pa.Array, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -181,8 +187,8 @@ def band_hashes(words: np.ndarray, back: np.ndarray, starts: np.ndarray, codes:
     return out, alive
 
 
-def signatures(words: np.ndarray, back: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """[row, 4]: one bit of each of 256 unweighted registers.
+def signatures(words: np.ndarray, back: np.ndarray, starts: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """[row, 4]: one bit of each of 256 unweighted registers of the words that aren't alone in the corpus.
 
     Here b is as near to 1 as the hash is fine: the register is then in effect the largest hash itself, K being a
     monotone function of it, and no logarithm is needed.
@@ -191,6 +197,7 @@ def signatures(words: np.ndarray, back: np.ndarray, starts: np.ndarray) -> np.nd
     bits = []
     for at in range(0, SIGNATURE, STRIP):
         single = ((words[:, None] * seeds[None, at : at + STRIP]) >> U(48)).astype(np.uint16)
+        single[alone] = 0
         bits.append(np.maximum.reduceat(single[back], starts, axis=0) & np.uint16(1))
     return np.ascontiguousarray(np.packbits(np.concatenate(bits, axis=1).astype(bool), axis=1)).view(U)
 
@@ -203,7 +210,7 @@ def _agree(s: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray) -> np.ndarra
     return SIGNATURE - off
 
 
-def pairs_in_buckets(e: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pairs_in_buckets(e: np.ndarray, share: Fraction, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of identifiers that share a bucket and pass the estimate."""
     e = e[np.lexsort((e["id"], e["hash"]))]
     same = np.zeros(len(e), bool)
@@ -211,13 +218,18 @@ def pairs_in_buckets(e: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
     e = e[~same]
     start = np.flatnonzero(np.r_[True, e["hash"][1:] != e["hash"][:-1]]) if len(e) else np.zeros(0, int)
     size = np.diff(np.r_[start, len(e)])
-    n = e["n"]
+    n, m = np.ascontiguousarray(e["n"]), np.ascontiguousarray(e["m"])
+    # no pair can have less than this similarity; it settles most pairs
+    least = bounds[int(1000 * share / (2 - share))]
     ids = np.ascontiguousarray(e["id"])
     sig = tuple(np.ascontiguousarray(e[f]) for f in ("s0", "s1", "s2", "s3"))
     left, right = [], []
 
     def take(i: np.ndarray, j: np.ndarray) -> None:
-        ok = _agree(sig, i, j) >= bounds[n[i], n[j]]
+        equal = _agree(sig, i, j)
+        some = np.flatnonzero(equal >= least)
+        i, j = i[some], j[some]
+        ok = passes(equal[some], n[i], m[i], n[j], m[j], share, bounds)
         left.append(ids[i[ok]])
         right.append(ids[j[ok]])
 
@@ -303,10 +315,13 @@ class NearDuplicates:
                     continue
                 words, back = np.unique(h, return_inverse=True)
                 band, alive = band_hashes(words, back, starts, sent.value, n, bands, chance)
-                sig = signatures(words, back, starts)
+                alone = sent.value[_slot(words, int(sent.value.size).bit_length() - 1)] == 1
+                sig = signatures(words, back, starts, alone)
+                shared = sizes - np.add.reduceat(alone[back].astype(np.int64), starts)
                 _, first = np.unique(ids, return_index=True)  # copies within the batch go once
                 e = np.empty((len(first), bands), ENTRY)
                 e["hash"], e["id"], e["n"] = band[first] & U(0xFFFFFF), ids[first, None], np.minimum(sizes[first, None], SIZES - 1)
+                e["m"] = np.minimum(shared[first, None], SIZES - 1)
                 for i in range(4):
                     e[f"s{i}"] = sig[first, i, None]
                 use = alive[first].reshape(-1)
@@ -323,8 +338,7 @@ class NearDuplicates:
 
         def join(t: pa.Table) -> pa.Table:
             e = np.concatenate([_unpack(x.as_py()) for x in t.column("block")])
-            bounds = agreement_bounds(share, miss, SIZES)
-            a, b = pairs_in_buckets(e, bounds)
+            a, b = pairs_in_buckets(e, share, agreement_bounds(miss))
             return pa.table({"part": _part(a, parts), "a": a.view(np.int64), "b": b.view(np.int64)})
 
         packed = self.docs.mapInArrow(entries, PACKED)
