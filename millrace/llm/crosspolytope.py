@@ -8,6 +8,10 @@ Buckets are joined in packed blocks of vectors quantised to one byte a coordinat
 may be among its k best is kept: the quantisation error of each vector is known and sent along, so nothing that can
 belong to them is dropped. Kept pairs are ranked again with the exact cosine in doubles.
 
+Hashing needs a least cosine. Without one (`least=None`) every two vectors are compared: they are dealt into blocks, and
+each two blocks meet in one task, tile by tile, in single precision with room for its error, then in doubles for what may
+be among the k best. That misses nothing, and its time grows with the square of the number of vectors.
+
 Vectors with the same direction (to `DIGITS` decimals) make one class; only one vector of a class is hashed. Of a
 class's members the k + 1 smallest identifiers are kept as its head, by partial selection, and each member gets its
 partners from the heads: a third of all rows being one vector costs one entry.
@@ -32,6 +36,8 @@ from millrace.session import cut
 
 DIGITS = 6
 BLOCK = 2048
+#: Vectors in a block of the comparison of all, and the least number of blocks (each two are a task).
+GRID_ROWS, GRID_BLOCKS = 65_536, 6
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -117,6 +123,116 @@ def _rows(a: pa.Array, kind: str, d: int) -> np.ndarray:
     return np.frombuffer(b"".join(a.to_pylist()), kind).reshape(len(a), d).astype(np.float64)
 
 
+def _may_be_best(s: np.ndarray, kth: np.ndarray, k: int, axis: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the scores in a tile that may be among the k best of their line, given the k-th best so far."""
+    if s.shape[axis] > k and kth.min() < -1.5:
+        kth = np.maximum(kth, np.take(np.partition(s, s.shape[axis] - k, axis=axis), s.shape[axis] - k, axis=axis))
+    floor = (kth - slack).astype(np.float32)
+    at = np.flatnonzero(s >= (floor[:, None] if axis else floor[None, :]))
+    return at // s.shape[1], at % s.shape[1]
+
+
+def _keep_best(best: np.ndarray, ids: np.ndarray, row: np.ndarray, found: np.ndarray, s: np.ndarray) -> None:
+    """Take found identifiers and their similarities into the k best of each row; ties go to the smaller identifier."""
+    k = best.shape[1]
+    touched = np.unique(row)
+    r = np.concatenate([np.repeat(touched, k), row])
+    i = np.concatenate([ids[touched].ravel(), found])
+    c = np.concatenate([best[touched].ravel(), s])
+    order = np.lexsort((i, -c, r))
+    r, i, c = r[order], i[order], c[order]
+    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+    best[touched], ids[touched] = c[keep].reshape(-1, k), i[keep].reshape(-1, k)
+
+
+def _best_of_blocks(lid: np.ndarray, lx: np.ndarray, rid: np.ndarray, rx: np.ndarray, k: int, same: bool) -> np.ndarray:
+    """Rows of _FOUND: for each vector of either block its k most similar of the other one (same: of its own, but itself)."""
+    slack = 4 * (lx.shape[1] + 4) * 2.0**-24  # a single-precision product of unit vectors is off by less than half of it
+    ln, rn = np.linalg.norm(lx, axis=1), np.linalg.norm(rx, axis=1)
+    lu, ru = (lx / ln[:, None]).astype(np.float32), (rx / rn[:, None]).astype(np.float32)
+    sides = [(np.full((len(x), k), -2.0), np.full((len(x), k), np.iinfo(np.int64).max)) for x in (lid, rid)]
+    (lbest, lfound), (rbest, rfound) = (sides[0], sides[0]) if same else sides
+    for p in range(0, len(lid), BLOCK):
+        for q in range(p if same else 0, len(rid), BLOCK):
+            s = lu[p : p + BLOCK] @ ru[q : q + BLOCK].T
+            if same and p == q:
+                np.fill_diagonal(s, -3)
+            for axis, best, found in ((1, lbest, lfound), (0, rbest, rfound)):
+                if axis == 0 and same and p == q:
+                    continue  # the other half of a tile that mirrors itself
+                at = p if axis else q
+                i, j = _may_be_best(s, best[at : at + s.shape[1 - axis], k - 1], k, axis, slack)
+                for z in range(0, len(i), 1 << 16):
+                    a, b = i[z : z + (1 << 16)] + p, j[z : z + (1 << 16)] + q
+                    c = np.einsum("ij,ij->i", lx[a], rx[b]) / (ln[a] * rn[b])
+                    c = np.minimum(np.round(c, 12), 1.0)
+                    _keep_best(best, found, a if axis else b, rid[b] if axis else lid[a], c)
+    out = []
+    for ids, (best, found) in zip((lid,) if same else (lid, rid), sides):
+        ok = best > -1.5
+        e = np.empty(int(ok.sum()), _FOUND)
+        e["a"], e["b"], e["s"] = np.repeat(ids, ok.sum(axis=1)), found[ok], best[ok]
+        out.append(e)
+    return np.concatenate(out)
+
+
+_FOUND = np.dtype([("a", "<i8"), ("b", "<i8"), ("s", "<f8")])
+
+
+def _shares(number: np.ndarray, n: int) -> np.ndarray:
+    """Numbers dealt into n shares."""
+    h = number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+
+
+def _runs(part: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Each part and its rows, packed."""
+    order = np.argsort(part, kind="stable")
+    e, part = e[order], part[order]
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    return part[cuts], [y.tobytes() for y in np.split(e, cuts[1:])]
+
+
+def _nearest_of_all(one: DataFrame, packing: str, d: int, k: int, n: int, parts: int) -> DataFrame:
+    """(a, b, similarity): the k most similar others of every one of n vectors, all compared with all."""
+    blocks = max(GRID_BLOCKS, math.ceil(n / GRID_ROWS))
+    cells = [(i, j) for j in range(blocks) for i in range(j + 1)]
+    kind = np.dtype([("id", "<i8"), ("block", "<i4"), ("v", packing, (d,))])
+    parts = max(parts, math.ceil(n * k * blocks / 2_000_000))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            e = np.empty(b.num_rows, kind)
+            e["id"] = b.column(0).to_numpy()
+            e["v"] = np.frombuffer(b"".join(b.column(1).to_pylist()), packing).reshape(-1, d)
+            e["block"] = _shares(e["id"], blocks)
+            for own, rows in zip(*_runs(e["block"], e)):
+                with_each = [max(own, x) * (max(own, x) + 1) // 2 + min(own, x) for x in range(blocks)]
+                yield pa.RecordBatch.from_arrays([pa.array(with_each, pa.int32()), pa.array([rows] * blocks, pa.binary())], ["cell", "block"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(c, x) for b in batches for c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        for cell in sorted({c for c, _ in got}):
+            i, j = cells[cell]
+            e = np.frombuffer(b"".join(x for c, x in got if c == cell), kind)
+            left, right = e[e["block"] == i], e[e["block"] == j]
+            found = _best_of_blocks(left["id"], left["v"].astype(np.float64), right["id"], right["v"].astype(np.float64), k, i == j)
+            if len(found):
+                part, rows = _runs(_shares(found["a"], parts), found)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(rows, pa.binary())], ["part", "block"])
+
+    def best(t: pa.Table) -> pa.Table:
+        e = np.frombuffer(b"".join(t.column("block").to_pylist()), _FOUND)
+        e = e[np.lexsort((e["b"], -e["s"], e["a"]))]
+        e = e[np.arange(len(e)) - np.searchsorted(e["a"], e["a"]) < k]
+        return pa.table({"a": e["a"], "b": e["b"], "similarity": e["s"]})
+
+    dealt = one.select("id", "v").mapInArrow(deal, "cell int, block binary").repartitionById(len(cells), "cell")
+    return dealt.mapInArrow(compare, "part long, block binary").groupBy("part").applyInArrow(best, "a long, b long, similarity double")
+
+
 def usable(vectors: DataFrame, key: str, vector: str, d: int) -> tuple[DataFrame, str]:
     """(id, form, v): one usable vector for each identifier, packed, and a number for its direction; and how it is packed."""
     kind = "<f4" if "float" in dict(vectors.dtypes)[vector] else "<f8"
@@ -142,11 +258,11 @@ def usable(vectors: DataFrame, key: str, vector: str, d: int) -> tuple[DataFrame
 
 
 def most_similar(
-    vectors: DataFrame, key: str, vector: str, k: int = 5, least: float = 0.9, dimensions: int = 64, tables: int = 8, probes: int = 2, bucket_rows: int = 16, part_entries: int = 200_000
+    vectors: DataFrame, key: str, vector: str, k: int = 5, least: float | None = 0.9, dimensions: int = 64, tables: int = 8, probes: int = 2, bucket_rows: int = 16, part_entries: int = 200_000
 ) -> DataFrame:
     """(id, neighbour, similarity, place): the k most similar others of every usable vector, of cosine `least` or more.
 
-    The number of hashes in a bucket follows from the number of vectors: about bucket_rows of them would share a
+    With no least cosine all vectors are compared and the result is exact. Otherwise they are hashed. The number of hashes in a bucket follows from the number of vectors: about bucket_rows of them would share a
     bucket if they lay evenly.
     """
     spark = vectors.sparkSession
@@ -159,6 +275,8 @@ def most_similar(
     heads = cut(heads.groupBy("form").agg(F.sort_array(F.collect_list("id")).alias("head")))
     one = unit.join(heads.select("form", F.col("head")[0].alias("id")), ["form", "id"], "left_semi")
     n = heads.count()
+    if least is None:
+        return _of_members(unit, heads, _nearest_of_all(one, packing, dimensions, k, n, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), k)
     hashes = max(1, round(math.log(max(n, 2) / bucket_rows) / math.log(2 * size)))
     parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * tables * probes / part_entries))
     kind = _entry(dimensions)
@@ -223,6 +341,11 @@ def most_similar(
     exact = cut(exact)
     both = exact.unionByName(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     near = both.withColumn("at", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).filter(F.col("at") <= k)
+    return _of_members(unit, heads, near, k).filter(F.col("similarity") >= least)
+
+
+def _of_members(unit: DataFrame, heads: DataFrame, near: DataFrame, k: int) -> DataFrame:
+    """(id, neighbour, similarity, place) of every vector, from the k most similar classes of each class."""
     # from class to members: the k + 1 best for the class, its own head included
     first = heads.select(F.col("head")[0].alias("rep"), "head")
     wide = near.join(first.select(F.col("rep").alias("b"), "head"), "b").select("a", "similarity", F.explode("head").alias("m"))
@@ -234,7 +357,7 @@ def most_similar(
     per = unit.select("id", "form").join(forms, "form")
     others = F.slice(F.filter("best", lambda x: x["m"] != F.col("id")), 1, k)
     out = per.select("id", F.posexplode(others).alias("place", "x"))
-    return out.select("id", F.col("x.m").alias("neighbour"), F.col("x.similarity").alias("similarity"), (F.col("place") + 1).alias("place")).filter(F.col("similarity") >= least)
+    return out.select("id", F.col("x.m").alias("neighbour"), F.col("x.similarity").alias("similarity"), (F.col("place") + 1).alias("place"))
 
 
 def similar_pairs(neighbours: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_similar(spark: SparkSession, d: str) -> DataFrame:
-    n = most_similar(table(spark, d, "doc_vectors"), "doc_id", "vector")
+    n = most_similar(table(spark, d, "doc_vectors"), "doc_id", "vector", least=None)
     return n.select(F.col("id").alias("doc_id"), F.col("neighbour").alias("similar_doc_id"), F.col("similarity").alias("similarity_score"), F.col("place").alias("rank"))
 
 

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, langid
+from millrace.llm import bpe, crosspolytope, langid, queries
 from millrace.llm.crosspolytope import buckets, hadamard, most_similar, rotate
 from millrace.llm.mixture import Mixture, source_name
 
@@ -52,6 +52,47 @@ def test_neighbours_against_brute_force(spark):
     assert all(len(v) <= 5 for v in got.values())
 
 
+def similar(df, **kw):
+    got = {}
+    for r in most_similar(df, "doc_id", "vector", **kw).orderBy("id", "place").collect():
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    return got
+
+
+def test_nearest_without_a_least_cosine(spark, monkeypatch):
+    monkeypatch.setattr(crosspolytope, "GRID_ROWS", 100)  # more blocks
+    x = np.concatenate([clustered(), np.random.default_rng(3).normal(size=(300, 64))])
+    x[10:20] = x[10]  # copies
+    ids = list(range(1000, 1000 + len(x)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "doc_id long, vector array<double>")
+    assert similar(df, least=None) == brute(ids, x, 5, -2)
+    few = df.filter("doc_id >= 1017 AND doc_id < 1021")
+    assert similar(few, least=None) == brute(ids[17:21], x[17:21], 5, -2)
+    assert similar(df.limit(1), least=None) == {} and similar(df.limit(0), least=None) == {}
+
+
+def test_blocks_of_many_tiles(monkeypatch):
+    monkeypatch.setattr(crosspolytope, "BLOCK", 64)
+    x, ids = clustered(), np.arange(600) * 7
+    want = brute(ids.tolist(), x, 5, -2)
+    a, b = slice(0, 350), slice(350, 600)
+    e = np.concatenate([crosspolytope._best_of_blocks(ids[p], x[p], ids[q], x[q], 5, p == q) for p, q in ((a, a), (b, b), (a, b))])
+    got = {i: [f["b"] for f in np.sort(e[e["a"] == i], order="s")[::-1][:5]] for i in ids.tolist()}
+    assert {i: set(v) for i, v in got.items()} == {i: set(v) for i, v in want.items()}
+
+
+def test_p6_similar_finds_the_true_neighbours(spark):
+    d = "/root/testdata/sf0.001"
+    rows = {r["doc_id"]: r["vector"] for r in spark.read.parquet(f"{d}/doc_vectors.parquet").collect() if r["vector"] and len(r["vector"]) == 64}
+    rows = {i: v for i, v in rows.items() if np.isfinite(v).all() and np.any(v)}
+    want = brute(list(rows), np.array(list(rows.values())), 5, -2)
+    got = {}
+    for r in queries.p6_similar(spark, d).collect():
+        got.setdefault(r["doc_id"], set()).add(r["similar_doc_id"])
+    assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    assert sum(len(got[i] & set(v)) for i, v in want.items()) >= 0.99 * sum(map(len, want.values()))
+
+
 def test_unusable_vectors(spark):
     v = [1.0] * 64
     rows = [(1, v), (1, v), (2, v), (3, None), (4, [0.0] * 64), (5, [float("nan")] * 64), (6, [1.0] * 63), (7, [None] + [1.0] * 63), (8, [float("inf")] * 64), (None, v)]
