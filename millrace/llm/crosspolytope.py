@@ -23,6 +23,7 @@ similarity go to the smaller identifier; empty tables give empty results; other
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -92,6 +93,28 @@ def buckets(x: np.ndarray, table: int, hashes: int, probes: int) -> np.ndarray:
     return out
 
 
+@functools.cache
+def found_chance(hashes: int, probes: int, cosine: float, dimensions: int) -> float:
+    """The chance that one table shows a vector another one of that cosine, measured on random pairs."""
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(2, 4_000, dimensions))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+    padded = np.zeros((2, len(x), 1 << max(0, dimensions - 1).bit_length()))
+    padded[0, :, :dimensions], padded[1, :, :dimensions] = x, cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * y
+    # only the looking vector's own probes count: for the other one it need not be among the k best
+    return float(np.mean([(buckets(padded[0], t, hashes, probes) == buckets(padded[1], t, hashes, 1)).any(axis=1).mean() for t in range(4)]))
+
+
+def tables_for(recall: float, hashes: int, probes: int, cosine: float, dimensions: int) -> int:
+    """The number of tables that show the given share of the pairs of that cosine."""
+    p = found_chance(hashes, probes, cosine, dimensions)
+    if p == 0:
+        raise ValueError(f"hashing can't find pairs of cosine {cosine}; compare all vectors (least=None)")
+    return 1 if p == 1 else math.ceil(math.log(1 - recall) / math.log(1 - p))
+
+
 def _entry(d: int) -> np.dtype:
     return np.dtype([("bucket", "<i8"), ("id", "<i8"), ("own", "u1"), ("scale", "<f4"), ("error", "<f4"), ("v", "i1", (d,))])
 
@@ -258,12 +281,13 @@ def usable(vectors: DataFrame, key: str, vector: str, d: int) -> tuple[DataFrame
 
 
 def most_similar(
-    vectors: DataFrame, key: str, vector: str, k: int = 5, least: float | None = 0.9, dimensions: int = 64, tables: int = 8, probes: int = 2, bucket_rows: int = 16, part_entries: int = 200_000
+    vectors: DataFrame, key: str, vector: str, k: int = 5, least: float | None = 0.9, dimensions: int = 64, tables: int = 8, probes: int = 2, bucket_rows: int = 16, part_entries: int = 200_000, recall: float = 0.99
 ) -> DataFrame:
     """(id, neighbour, similarity, place): the k most similar others of every usable vector, of cosine `least` or more.
 
     With no least cosine all vectors are compared and the result is exact. Otherwise they are hashed. The number of hashes in a bucket follows from the number of vectors: about bucket_rows of them would share a
-    bucket if they lay evenly.
+    bucket if they lay evenly. There are at least `tables` tables, and as many more as that number of hashes needs for
+    an expected recall of about `recall` at the least cosine by one vector's probes alone.
     """
     spark = vectors.sparkSession
     size = 1 << max(0, dimensions - 1).bit_length()
@@ -278,6 +302,7 @@ def most_similar(
     if least is None:
         return _of_members(unit, heads, _nearest_of_all(one, packing, dimensions, k, n, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), k)
     hashes = max(1, round(math.log(max(n, 2) / bucket_rows) / math.log(2 * size)))
+    tables = max(tables, tables_for(recall, hashes, probes, min(least, 1.0), dimensions))
     parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * tables * probes / part_entries))
     kind = _entry(dimensions)
 

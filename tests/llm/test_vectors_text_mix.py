@@ -52,6 +52,21 @@ def test_neighbours_against_brute_force(spark):
     assert all(len(v) <= 5 for v in got.values())
 
 
+@pytest.mark.parametrize("hashes", [2, 3])
+def test_recall_at_the_least_cosine_holds_with_more_hashes(spark, hashes):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(2, 1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    z = 0.9001 * x + np.sqrt(1 - 0.9001**2) * y
+    rows = [(2 * i + s, v.tolist()) for i in range(1000) for s, v in ((0, x[i]), (1, z[i]))]
+    df = spark.createDataFrame(rows, "doc_id long, vector array<double>")
+    # so few rows a bucket that 2,000 vectors ask for that many hashes
+    got = similar(df, bucket_rows=2000 / 128**hashes)
+    assert sum(2 * i + 1 in got.get(2 * i, []) for i in range(1000)) >= 985
+
+
 def similar(df, **kw):
     got = {}
     for r in most_similar(df, "doc_id", "vector", **kw).orderBy("id", "place").collect():
