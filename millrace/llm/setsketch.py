@@ -9,7 +9,8 @@ maxima of the registers, and two sets agree in a register the more often the mor
 2. Banding. One sketch takes each word with the weight ln(1 + N / count): its h has that rate. A band is a run of
    registers of this sketch, as many as it takes until the expected number of texts agreeing in them by chance, N times
    the product of the winning words' shares, is at most `chance`. Rare winners need one register, common ones several.
-   A band won by a word that occurs once in the corpus can't be shared and isn't sent.
+   A band won by a word that occurs once in the corpus can't be shared and isn't sent. The longer the bands must be, the
+   more of them there are.
 3. Joint estimate. A second sketch, unweighted, is carried along as one bit of each of 256 registers; it leaves out
    the words that occur once, which are never common. Within a
    bucket of a band, the likelihood of the number of equal registers under the least similarity that a true pair of
@@ -48,6 +49,7 @@ U = np.uint64
 B, Q, RATE = 1.001, (1 << 16) - 2, 4096  # RATE: log_b of the exponentials' common rate
 REGISTERS = 96
 DEPTH = 8  # most registers in a band
+BANDS_PER_BIT = 1.65  # bands for each bit that a band asks for
 SIGNATURE = 256  # registers of one bit in the second sketch
 ENTRY = np.dtype([("hash", "<u4"), ("id", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("s2", "<u8"), ("s3", "<u8"), ("n", "u1"), ("m", "u1")])  # n words, m of them not alone in the corpus
 SIZES = 256  # larger sets count as this large in the estimate, which only keeps more
@@ -259,6 +261,11 @@ def pairs_in_buckets(e: np.ndarray, share: Fraction, bounds: np.ndarray) -> tupl
     return a[new], b[new]
 
 
+def bands_for(n: int, chance: float, least: int) -> int:
+    """The number of bands for n texts: a band asks for log2(n / chance) bits, and the more it asks the fewer pairs agree in it."""
+    return max(least, min(REGISTERS, math.ceil(BANDS_PER_BIT * math.log2(max(n, 1) / chance))))
+
+
 class NearDuplicates:
     """The parts of the join, all lazy; docs needs the columns key and text."""
 
@@ -304,8 +311,9 @@ class NearDuplicates:
         spark = self.docs.sparkSession
         counts, n = count_words(self.docs, self.count_bits)
         sent = spark.sparkContext.broadcast(counts)  # 1 << count_bits bytes, whatever the data
-        parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * self.bands / self.part_entries))
-        min_words, bands, chance = self.min_words, self.bands, self.chance
+        bands = bands_for(n, self.chance, self.bands)
+        parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * bands / self.part_entries))
+        min_words, chance = self.min_words, self.chance
         share, miss = self.share, self.miss
 
         def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,12 +1,14 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from millrace.llm import setsketch
 from millrace.llm import textscan as ts
 from millrace.llm.foldhash import collapse_copies, hash_batch, same_text
 from millrace.llm.setsketch import NearDuplicates, group_links
@@ -54,6 +56,20 @@ def test_pairs_against_all_pairs(spark):
     assert len(got & want) >= 0.98 * len(want) and len(want) > 100
 
 
+@pytest.mark.parametrize("n", [360_000, 3_600_000, 36_000_000])
+def test_bands_of_larger_corpora_lose_no_more(n):
+    rng = np.random.default_rng(1)
+    words = ts.mix(np.arange(400, dtype=np.uint64))
+    codes = np.zeros(1 << 22, np.uint8)
+    codes[setsketch._slot(words, 22)] = 1 + int(8 * np.log2(n / 20))  # every word in a twentieth of the texts
+    sets = [rng.permutation(400)[:24] for _ in range(2000)]
+    rows = [r for s in sets for r in (s[:20], s[4:])]  # 16 of 20 words in common
+    n_bands = setsketch.bands_for(n, 1024.0, 8)
+    band, alive = setsketch.band_hashes(words, np.concatenate(rows), np.arange(len(rows)) * 20, codes, n, n_bands, 1024.0)
+    found = ((band[::2] == band[1::2]) & alive[::2] & alive[1::2]).any(axis=1)
+    assert found.mean() >= 0.99
+
+
 def test_pairs_of_odd_rows(spark):
     long = " ".join(f"x{i}" for i in range(20_000))
     rows = [("a", "one two three four five"), ("b", "FIVE four-three, two one!"), ("b", "FIVE four-three, two one!"), ("c", None), (None, "one two three four five"), ("d", ""), ("e", "one two three four"),
