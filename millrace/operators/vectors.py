@@ -30,9 +30,10 @@ def normalised(vectors: DataFrame, vector: str = "vector") -> DataFrame:
     return vectors.withColumn(vector, unit(vector))
 
 
-def flat_search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", positive: bool | None = None) -> DataFrame:
+def flat_search(queries: DataFrame, corpus: DataFrame, k: int | None, metric: str = "cosine", positive: bool | None = None) -> DataFrame:
     """Exact search of all queries against all vectors; the queries are a stated, bounded set.
 
+    k: how many of each query; None for every score, with a null rank.
     metric: cosine, dot or l2 (squared distance, smaller is better: score is its negative).
     positive: keep scores above 0 only, after the cut to k.
     """
@@ -49,7 +50,7 @@ def flat_search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "co
     return out.filter("score > 0") if positive else out
 
 
-def _flat(queries: DataFrame, corpus: DataFrame, k: int, metric: str) -> DataFrame:
+def _flat(queries: DataFrame, corpus: DataFrame, k: int | None, metric: str) -> DataFrame:
     rows = [(r["query_id"], r["vector"]) for r in queries.select("query_id", "vector").filter("vector IS NOT NULL").toLocalIterator()]
     spark = corpus.sparkSession
     kinds = dict(queries.dtypes), dict(corpus.dtypes)
@@ -76,7 +77,7 @@ def _flat(queries: DataFrame, corpus: DataFrame, k: int, metric: str) -> DataFra
             if metric == "l2":
                 s = 2 * s - (m * m).sum(axis=1)[:, None] - (x * x).sum(axis=1)[None, :]
             s = np.round(s, 12)
-            if s.shape[1] > k:
+            if k is not None and s.shape[1] > k:
                 # everything that ties with the k-th best stays; ranks are given later
                 least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] - 1e-9
                 i, j = np.nonzero(s >= least)
@@ -88,7 +89,8 @@ def _flat(queries: DataFrame, corpus: DataFrame, k: int, metric: str) -> DataFra
     if metric == "cosine":
         usable = usable.filter(F.exists("vector", lambda x: x != 0))
     found = usable.mapInArrow(run, f"query_id {kinds[0]['query_id']}, doc_id {kinds[1]['doc_id']}, score double")
-    return top_k(found, k).select("query_id", "rank", "doc_id", "score")
+    ranked = found.withColumn("rank", F.lit(None).cast("int")) if k is None else top_k(found, k)
+    return ranked.select("query_id", "rank", "doc_id", "score")
 
 
 def expression_search(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:

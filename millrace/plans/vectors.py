@@ -80,7 +80,7 @@ def lsh_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_similarity_stats(spark: SparkSession, d: str) -> DataFrame:
-    s = retrieve.similarity_stats(vectors.flat_search(_queries(spark, d), _corpus(spark, d), 1_000_000))
+    s = retrieve.similarity_stats(vectors.flat_search(_queries(spark, d), _corpus(spark, d), None))
     return s.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "max", "min")])
 
 

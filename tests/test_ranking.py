@@ -7,6 +7,7 @@ from millrace.operators import evaluate as ev
 from millrace.operators import fuse, retrieve, vectors
 from millrace.operators import tfidf as tf
 from millrace.operators.ranking import top_k
+from millrace.plans import vectors as plan_vectors
 
 
 def run_of(spark, docs, q="q"):
@@ -120,3 +121,13 @@ def test_fallback_order(spark):
     got = {(r["query_id"], r["doc_id"], r["strategy"]) for r in retrieve.first_that_answers([a, b]).collect()}
     assert got == {("x", "d1", 0), ("y", "d2", 1)}
     assert retrieve.capped(80) == 50 and F.lit(1) is not None
+
+
+def test_similarity_stats_cover_every_score(spark, monkeypatch):
+    seen = []
+    search = vectors.flat_search
+    monkeypatch.setattr(vectors, "flat_search", lambda q, c, k, *a: seen.append(k) or search(q, c, k, *a))
+    d = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id")
+    assert plan_vectors.vector_similarity_stats(spark, d).first()["n"] == n.filter("vec_id % 100 = 0").count() * n.count()
+    assert seen == [None]  # no cut, however many rows
