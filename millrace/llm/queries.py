@@ -30,6 +30,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return NearDuplicates(_questions(spark, d), "key", "text").key_pairs()
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return NearDuplicates(_questions(spark, d), "key", "text").classes()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return collapse_copies(spread(table(spark, d, "quora_docs").select("doc_id", "text")), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
@@ -97,18 +101,25 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return langid.segment_languages(*_documents_and_model(spark, d), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p6_found, p6_similar, p7_ids, p8_mixture, p8_shares, p9_found, p9_documents, p9_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p3_found, p4_found, p5_found, p6_found, p6_similar, p7_ids, p8_mixture, p8_shares, p9_found, p9_documents, p9_segments)}
 
 _NUMBER = r"TRY_CAST(trim(doc_id, E' \t\r\n\x0b\x0c') AS DECIMAL(38,6))"
 
-SQL = {
-    "p1_found": r"""
+_PAIRS = r"""
 WITH t AS (SELECT DISTINCT doc_id AS k, text FROM quora_docs WHERE text IS NOT NULL UNION SELECT query_id, text FROM quora_queries WHERE text IS NOT NULL),
 w AS (SELECT k, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS ws FROM t),
 s AS (SELECT k, ws, len(ws) AS n FROM w WHERE len(ws) >= 5),
 u AS (SELECT k, n, unnest(ws) AS word FROM s),
-c AS (SELECT a.k AS key_a, b.k AS key_b, count(*) AS common, any_value(greatest(a.n, b.n)) AS n FROM u a JOIN u b ON a.word = b.word AND a.k < b.k GROUP BY 1, 2)
-SELECT key_a, key_b FROM c WHERE 10 * common >= 7 * n
+c AS (SELECT a.k AS key_a, b.k AS key_b, count(*) AS common, any_value(greatest(a.n, b.n)) AS n FROM u a JOIN u b ON a.word = b.word AND a.k < b.k GROUP BY 1, 2),
+pairs AS (SELECT key_a, key_b FROM c WHERE 10 * common >= 7 * n)
+"""
+
+SQL = {
+    "p1_found": _PAIRS + "SELECT key_a, key_b FROM pairs",
+    "p1_classes": _PAIRS + """
+, ends AS (SELECT key_a AS k FROM pairs UNION ALL SELECT key_b FROM pairs), links AS (SELECT k, count(*) AS n FROM ends GROUP BY k),
+c0 AS (SELECT k, min(k) OVER (PARTITION BY list_sort(ws)) AS class_key FROM s)
+SELECT c0.k AS key, class_key, coalesce(links.n, 0) AS n_links FROM c0 LEFT JOIN links ON links.k = c0.k
 """,
     "p3_found": r"""
 WITH t AS (SELECT DISTINCT doc_id, text FROM quora_docs WHERE text IS NOT NULL),

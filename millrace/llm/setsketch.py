@@ -4,38 +4,47 @@ A SetSketch holds, for each of m registers, the largest K = floor(1 - log_b h) o
 exponential number made from the element and the register, truncated to 0 .. q + 1. The registers of a union are the
 maxima of the registers, and two sets agree in a register the more often the more they have in common.
 
-1. Counting. How often each word occurs is counted over all texts in a table of fixed size (2 ** count_bits counters,
-   one hash; a counter never counts too little). Only that table comes to the driver and is broadcast.
+1. Counting. How often each word occurs is counted over all texts in a table whose size follows from that of the input
+   (2 ** count_bits counters, within fixed bounds; a counter never counts too little). Only that table comes to the
+   driver and is broadcast.
 2. Banding. One sketch takes each word with the weight ln(1 + N / count): its h has that rate. A band is a run of
    registers of this sketch, as many as it takes until the expected number of texts agreeing in them by chance, N times
    the product of the winning words' shares, is at most `chance`. Rare winners need one register, common ones several.
+   A band's key is made of the words that won its registers, whichever registers those are: texts that agree in a band
+   have the same key, bands of one text won by the same words are one entry, and texts also meet in different bands.
    A band won by a word that occurs once in the corpus can't be shared and isn't sent. The longer the bands must be, the
-   more of them there are.
-3. Joint estimate. A second sketch, unweighted, is carried along as one bit of each of 256 registers; it leaves out
-   the words that occur once, which are never common. Within a
-   bucket of a band, the likelihood of the number of equal registers under the least similarity that a true pair of
-   these sizes can have is set against its quantile `miss`: pairs below it are dropped.
+   more of them there are; those beyond the first `bands` are sent only if DEEP words or more had to win in them, as it
+   is the texts of common words that need them.
+3. Joint estimate. A second sketch, unweighted, is carried along as one bit of each of 192 registers; it leaves out
+   the words that occur once, which are never common. Two bits agree with chance (1 + J) / 2 at similarity J. Within a
+   bucket of a band, the likelihood of the agreement seen under the least similarity that a true pair of these sizes can
+   have is set against its maximum over J: a pair is dropped if its estimate is lower and the ratio says that no true
+   pair, but for a share of `miss`, is so far off.
 4. Verifying. The pairs left are compared word by word.
 
-Texts with the same set of words share one identifier (a 64-bit hash of the set) and go through 2-4 once. They are made
-one within a batch before anything is shuffled, so a text with a third of all copies costs one entry a batch and band.
-Entries are shuffled as packed binary blocks, 45 bytes an entry, into as many parts as their number asks for. Buckets
-are compared in square blocks of bounded size, none is cut.
+Texts with the same set of words make one class and go through 2-4 once; a class is told by two hashes of 64 bits. Copies
+are made one within a batch before anything is shuffled, so a text with a third of all copies costs one entry a batch and
+band. Entries are shuffled as packed binary blocks, 37 bytes an entry, into as many parts as their number asks for.
+
+Hot buckets: the entries of each bucket are counted beforehand, in a fixed table whose counters never count too little. A
+bucket of more than `split` entries is dealt into blocks, and each two blocks meet in a part of their own. None is cut.
 
 Defined cases: null and empty texts and those of fewer than min_words different words have no partner; a key delivered
 again counts once; pairs come out once with the smaller key first; a pair lies above the threshold if the common words
 are at least `share` of the words of either text (exact integer arithmetic on verified words); empty tables give empty
 results; other columns are ignored.
 
-Recall: a true pair is lost if no band agrees or the estimate falls under the quantile. See README for measurements.
+Recall: a true pair is lost if no two bands agree or the estimate falls under the bound. See README for measurements.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from functools import lru_cache
+from statistics import NormalDist
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -47,12 +56,17 @@ from millrace.llm import textscan as ts
 U = np.uint64
 #: Base and limit of the registers' scale; 16 bits hold q + 2 values.
 B, Q, RATE = 1.001, (1 << 16) - 2, 4096  # RATE: log_b of the exponentials' common rate
-REGISTERS = 96
+REGISTERS = 64
 DEPTH = 8  # most registers in a band
-BANDS_PER_BIT = 1.65  # bands for each bit that a band asks for
-SIGNATURE = 256  # registers of one bit in the second sketch
-ENTRY = np.dtype([("hash", "<u4"), ("id", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("s2", "<u8"), ("s3", "<u8"), ("n", "u1"), ("m", "u1")])  # n words, m of them not alone in the corpus
+BANDS_PER_BIT = 3.0  # bands for each bit that a band asks for
+DEEP = 3  # the words that win in a band beyond the first ones
+SIGNATURE = 192  # registers of one bit in the second sketch
+ENTRY = np.dtype([("hash", "<u4"), ("id", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("s2", "<u8"), ("n", "u1"), ("m", "u1")])  # n words, m of them not alone in the corpus
+WORDS = ("s0", "s1", "s2")
 SIZES = 256  # larger sets count as this large in the estimate, which only keeps more
+STEPS = 4  # codes of counts for each power of two: one byte holds every count of 63 bits
+COUNT_BITS = (22, 25)  # least and most
+HOT_BITS = 22  # counters of buckets' entries
 SLICES = 64
 STRIP = 20  # registers worked on at a time, for the processor's caches
 BLOCK = 512
@@ -68,19 +82,26 @@ def _registers(words: np.ndarray, weight: np.ndarray | float, first: int, count:
     seeds = ts.mix((np.arange(first, first + count, dtype=np.uint64) + U(1)) * U(0x9E3779B97F4A7C15))
     h = -np.log(_uniform(ts.mix(words[:, None] ^ seeds[None, :])))
     h /= np.asarray(weight).reshape(-1, 1)
-    return np.clip(np.floor(1 - np.log(h) / math.log(B)) + RATE, 0, Q + 1).astype(np.uint32)
+    return np.clip(np.floor(1 - np.log(h) / math.log(B)) + RATE, 0, Q + 1).astype(U)
+
+
+def log_likelihood(equal: np.ndarray | int, j: np.ndarray | float) -> np.ndarray:
+    """Of similarity j, `equal` of SIGNATURE registers' bits being equal."""
+    p = np.clip((1 + np.asarray(j, float)) / 2, 1e-12, 1 - 1e-12)
+    return equal * np.log(p) + (SIGNATURE - equal) * np.log1p(-p)
 
 
 def least_agreement(j: float, miss: float) -> int:
-    """The quantile `miss` of the number of equal signature registers of sets with similarity j."""
-    p = (1 + j) / 2  # at the finest scale registers agree with chance j; single bits of others half the time
-    total = 0.0
-    for k in range(SIGNATURE + 1):
-        if p < 1:
-            total += math.exp(math.lgamma(SIGNATURE + 1) - math.lgamma(k + 1) - math.lgamma(SIGNATURE - k + 1) + k * math.log(p) + (SIGNATURE - k) * math.log1p(-p))
-        if total > miss:
-            return k
-    return SIGNATURE
+    """The fewest equal registers at which similarity j isn't ruled out by the likelihood ratio.
+
+    The estimate is the similarity of greatest likelihood, 2 equal / SIGNATURE - 1 or 0. Twice the log of the ratio is
+    about a squared normal number, of which a share of `miss` lies beyond the bound on this side.
+    """
+    bound = NormalDist().inv_cdf(1 - miss) ** 2
+    equal = np.arange(SIGNATURE + 1)
+    best = np.clip(2 * equal / SIGNATURE - 1, 0, 1)
+    kept = (best >= j) | (2 * (log_likelihood(equal, best) - log_likelihood(equal, j)) <= bound)
+    return int(np.flatnonzero(kept)[0])
 
 
 @lru_cache(maxsize=8)
@@ -101,35 +122,46 @@ def passes(equal: np.ndarray, na: np.ndarray, ma: np.ndarray, nb: np.ndarray, mb
     return (c <= np.minimum(ma, mb)) & (equal >= bounds[np.clip(j, 0, 1000)])
 
 
-def _sets(texts: pa.Array, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes and their rows of the texts with enough words, sizes, row starts, set identifiers and row numbers."""
+class Sets(NamedTuple):
+    """The texts of a batch with enough different words."""
+
+    words: np.ndarray  # hashes of the different words, text by text
+    sizes: np.ndarray
+    starts: np.ndarray
+    ids: np.ndarray  # of the set of words
+    checks: np.ndarray  # a second hash of it
+    rows: np.ndarray  # row numbers in the batch
+
+
+def _sets(texts: pa.Array, min_words: int) -> Sets:
     h, t, n = ts.distinct(ts.scan(texts))
     ok = n >= min_words
-    use = ok[t]
-    h, t = h[use], t[use]
+    h = h[ok[t]]
     rows = np.flatnonzero(ok)
     sizes = n[rows]
-    starts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64) if len(rows) else np.zeros(0, np.int64)
-    ids = ts.mix(np.add.reduceat(ts.mix(h), starts) + sizes.astype(U)) if len(rows) else np.zeros(0, U)
-    return h, sizes, starts, ids, rows
+    if not len(rows):
+        return Sets(h, sizes, np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U), rows)
+    starts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
+    ids, checks = (ts.mix(np.add.reduceat(ts.mix(h ^ salt), starts) + sizes.astype(U)) for salt in (U(0), ts.BASES[1]))
+    return Sets(h, sizes, starts, ids, checks, rows)
 
 
 def _slot(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> U(64 - bits)).astype(np.int64)
 
 
-def count_words(docs: DataFrame, bits: int) -> tuple[np.ndarray, int]:
-    """A code for each counter of a word's hash, and the number of texts with words; over all texts.
+def _slot_counts(docs: DataFrame, bits: int, slots: Callable[[pa.RecordBatch], tuple[np.ndarray, int]]) -> tuple[np.ndarray, int]:
+    """A code for each of 2 ** bits counters, and the sum of n, over all batches; slots gives the places to count and n.
 
-    Counters hold occurrences; a code is 0 for none, else 1 + 8 log2 of the count, so 1 is exactly once.
+    A code is 0 for none, else 1 + STEPS log2 of the count, so 1 is exactly once.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, n = np.zeros(1 << bits, np.uint32), 0
         for b in (x for whole in batches for x in ts.slices(whole)):
-            w = ts.scan(b.column(1))
-            np.add.at(table, _slot(w.hashes, bits), np.uint32(1))
-            n += len(np.unique(w.text))
+            at, k = slots(b)
+            np.add.at(table, at, np.uint32(1))
+            n += k
         if n:
             parts = [_squeeze(x.tobytes()) for x in np.split(table, SLICES)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary()), pa.array([n] * SLICES, pa.int64())], ["slice", "counts", "n"])
@@ -138,8 +170,7 @@ def count_words(docs: DataFrame, bits: int) -> tuple[np.ndarray, int]:
         total = np.zeros((1 << bits) // SLICES, np.int64)
         for x in t.column("counts"):
             total += np.frombuffer(_unsqueeze(x.as_py()), np.uint32)
-        code = np.where(total > 0, 1 + np.floor(8 * np.log2(np.maximum(total, 1))), 0).astype(np.uint8)
-        return pa.table({"slice": t.column("slice")[:1], "counts": pa.array([_squeeze(code.tobytes())], pa.binary()), "n": pa.array([sum(t.column("n").to_pylist())], pa.int64())})
+        return pa.table({"slice": t.column("slice")[:1], "counts": pa.array([_squeeze(count_codes(total).tobytes())], pa.binary()), "n": pa.array([sum(t.column("n").to_pylist())], pa.int64())})
 
     schema = "slice int, counts binary, n long"
     got = docs.mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).collect()  # SLICES rows at most
@@ -149,48 +180,79 @@ def count_words(docs: DataFrame, bits: int) -> tuple[np.ndarray, int]:
     return table.reshape(-1), max([0, *(r["n"] for r in got)])
 
 
-def band_hashes(words: np.ndarray, back: np.ndarray, starts: np.ndarray, codes: np.ndarray, n: int, bands: int, chance: float) -> tuple[np.ndarray, np.ndarray]:
-    """[row, band] hashes of the weighted sketch's registers, and whether another text can have the same.
+def count_codes(counts: np.ndarray) -> np.ndarray:
+    """One byte for each count of up to 63 bits: 0 for none, 1 for one, STEPS more for each power of two."""
+    return np.where(counts > 0, 1 + np.floor(STEPS * np.log2(np.maximum(counts, 1).astype(float))), 0).astype(np.uint8)
+
+
+def counts_of(codes: np.ndarray) -> np.ndarray:
+    """What a code stands for, from below; 0 for none."""
+    return np.where(codes > 0, 2.0 ** ((np.maximum(codes, 1).astype(float) - 1) / STEPS), 0)
+
 
-    words holds the different words of a batch, back the place in it of every word of every row.
+def count_words(docs: DataFrame, bits: int) -> tuple[np.ndarray, int]:
+    """A code for the occurrences behind each counter of a word's hash, and the number of texts with words."""
+
+    def slots(b: pa.RecordBatch) -> tuple[np.ndarray, int]:
+        w = ts.scan(b.column(1))
+        return _slot(w.hashes, bits), len(np.unique(w.text))
+
+    return _slot_counts(docs, bits, slots)
 
-    A band in which a word wins that occurs once in the corpus is no other text's.
+
+def band_keys(words: np.ndarray, back: np.ndarray, starts: np.ndarray, codes: np.ndarray, n: int, bands: int, chance: float, always: int) -> tuple[np.ndarray, np.ndarray]:
+    """[row, band] keys of the words that won the bands' registers, and whether the entry is to be sent.
+
+    words holds the different words of a batch, back the place in it of every word of every row. A band in which a word
+    wins that occurs once in the corpus is no other text's; of several bands with the same key one is sent; a band beyond
+    the first `always` is sent only if it is deep.
     """
-    code = codes[_slot(words, int(codes.size).bit_length() - 1)].astype(np.int64)
-    weight = np.log1p(n / 2.0 ** ((np.maximum(code, 1) - 1) / 8))
-    # the winner's share of the texts goes along with the register, in eighths of a power of two; 255 marks once
-    share = np.where(code == 1, 255, np.clip(round(8 * math.log2(max(n, 1))) - (code - 1), 0, 254)).astype(np.uint32)
+    bits = int(codes.size).bit_length() - 1
+    weight = np.log1p(n / np.maximum(counts_of(codes[_slot(words, bits)]), 1))
+    low = words >> U(16)  # along with the register goes the word that won it
     tops = []
     for at in range(0, REGISTERS, STRIP):
-        single = _registers(words, weight, at, min(STRIP, REGISTERS - at)) << np.uint32(8) | share[:, None]
+        single = _registers(words, weight, at, min(STRIP, REGISTERS - at)) << U(48) | low[:, None]
         tops.append(np.maximum.reduceat(single[back], starts, axis=0))
-    top = np.concatenate(tops, axis=1)
+    won = np.concatenate(tops, axis=1) << U(16)
+    code = codes[_slot(won, bits)].astype(np.float64)
+    # the winner's share of the texts, in bits
+    share = np.maximum(math.log2(max(n, 1)) - (code - 1) / STEPS, 0)
+    hashed = ts.mix(won)
     out = np.empty((len(starts), bands), U)
     alive = np.ones((len(starts), bands), bool)
-    goal = 8 * math.log2(max(n / chance, 1))
+    goal = math.log2(max(n / chance, 1))
     rng = np.random.default_rng(20)
     for b in range(bands):
-        run = np.r_[b, rng.permutation(np.setdiff1d(np.arange(REGISTERS), [b]))[: DEPTH - 1]]
-        acc = np.full(len(starts), ts.mix(np.array([b + 1], U))[0])
-        got = np.zeros(len(starts))
-        on = np.ones(len(starts), bool)
-        for r in run:
-            v = top[:, r]
+        first = b % REGISTERS
+        run = np.r_[first, rng.permutation(np.setdiff1d(np.arange(REGISTERS), [first]))[: DEPTH - 1]]
+        acc, got, on = np.zeros(len(starts), U), np.zeros(len(starts)), np.ones(len(starts), bool)
+        deep = np.zeros(len(starts), np.int64)
+        for i, r in enumerate(run):
             at = np.flatnonzero(on)
-            v = v[at]
-            acc[at] = ts.mix(acc[at] ^ v.astype(U) * U(0xD1B54A32D192ED03))
-            low = v & np.uint32(255)
-            alive[at[low == 255], b] = False
-            got[at] += low
-            on[at] = (got[at] < goal) & (low != 255)
-            if not on.any():
+            if not len(at):
                 break
-        out[:, b] = acc
+            new = (won[at][:, run[:i]] != won[at, r][:, None]).all(axis=1)
+            acc[at] += np.where(new, hashed[at, r], U(0))
+            got[at] += np.where(new, share[at, r], 0)
+            deep[at] += new
+            once = code[at, r] == 1
+            alive[at[once], b] = False
+            on[at] = (got[at] < goal) & ~once
+        out[:, b] = ts.mix(acc)
+        if b >= always:
+            alive[deep < DEEP, b] = False
+    order = np.argsort(out, axis=1, kind="stable")
+    ordered = np.take_along_axis(out, order, 1)
+    sent = np.take_along_axis(alive, order, 1)
+    # bands of one key are sent or not alike, but for those beyond the first: the one before is of a lower number
+    sent[:, 1:] &= ~((ordered[:, 1:] == ordered[:, :-1]) & sent[:, :-1])
+    np.put_along_axis(alive, order, sent, 1)
     return out, alive
 
 
 def signatures(words: np.ndarray, back: np.ndarray, starts: np.ndarray, alone: np.ndarray) -> np.ndarray:
-    """[row, 4]: one bit of each of 256 unweighted registers of the words that aren't alone in the corpus.
+    """[row, word]: one bit of each of SIGNATURE unweighted registers of the words that aren't alone in the corpus.
 
     Here b is as near to 1 as the hash is fine: the register is then in effect the largest hash itself, K being a
     monotone function of it, and no logarithm is needed.
@@ -214,9 +276,9 @@ def _agree(s: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray) -> np.ndarra
 
 def pairs_in_buckets(e: np.ndarray, share: Fraction, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of identifiers that share a bucket and pass the estimate."""
-    e = e[np.lexsort((e["id"], e["hash"]))]
+    e = e[np.lexsort((e["s0"], e["id"], e["hash"]))]
     same = np.zeros(len(e), bool)
-    same[1:] = (e["hash"][1:] == e["hash"][:-1]) & (e["id"][1:] == e["id"][:-1])
+    same[1:] = (e["hash"][1:] == e["hash"][:-1]) & (e["id"][1:] == e["id"][:-1]) & (e["s0"][1:] == e["s0"][:-1])
     e = e[~same]
     start = np.flatnonzero(np.r_[True, e["hash"][1:] != e["hash"][:-1]]) if len(e) else np.zeros(0, int)
     size = np.diff(np.r_[start, len(e)])
@@ -224,7 +286,7 @@ def pairs_in_buckets(e: np.ndarray, share: Fraction, bounds: np.ndarray) -> tupl
     # no pair can have less than this similarity; it settles most pairs
     least = bounds[int(1000 * share / (2 - share))]
     ids = np.ascontiguousarray(e["id"])
-    sig = tuple(np.ascontiguousarray(e[f]) for f in ("s0", "s1", "s2", "s3"))
+    sig = tuple(np.ascontiguousarray(e[f]) for f in WORDS)
     left, right = [], []
 
     def take(i: np.ndarray, j: np.ndarray) -> None:
@@ -263,27 +325,30 @@ def pairs_in_buckets(e: np.ndarray, share: Fraction, bounds: np.ndarray) -> tupl
 
 def bands_for(n: int, chance: float, least: int) -> int:
     """The number of bands for n texts: a band asks for log2(n / chance) bits, and the more it asks the fewer pairs agree in it."""
-    return max(least, min(REGISTERS, math.ceil(BANDS_PER_BIT * math.log2(max(n, 1) / chance))))
+    return max(least, math.ceil(BANDS_PER_BIT * math.log2(max(n / chance, 1))))
 
 
 class NearDuplicates:
-    """The parts of the join, all lazy; docs needs the columns key and text."""
+    """The parts of the join; docs needs the columns key and text."""
 
-    def __init__(self, docs: DataFrame, key: str, text: str, share: float = 0.7, min_words: int = 5, bands: int = 8, chance: float = 1024.0, miss: float = 0.01, count_bits: int = 22, part_entries: int = 300_000):
+    def __init__(self, docs: DataFrame, key: str, text: str, share: float = 0.7, min_words: int = 5, bands: int = 16, chance: float = 1024.0, miss: float = 0.001, count_bits: int | None = None, part_entries: int = 300_000, split: int = 20_000):
         self.share, self.min_words = Fraction(str(share)), min_words
         self.docs = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).filter("key IS NOT NULL AND text IS NOT NULL")
-        self.bands, self.chance, self.miss, self.count_bits, self.part_entries = bands, chance, miss, count_bits, part_entries
+        self.bands, self.chance, self.miss, self.part_entries, self.split = bands, chance, miss, part_entries, split
+        size = float(str(self.docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        # a new word comes with every some 16 bytes at most
+        self.count_bits = count_bits or int(min(max(math.log2(max(size, 1.0) / 16), COUNT_BITS[0]), COUNT_BITS[1]))
 
     def members(self) -> DataFrame:
-        """(id, key): which set of words a key's text has."""
+        """(id, check, key): which set of words a key's text has."""
         min_words = self.min_words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in (x for whole in batches for x in ts.slices(whole)):
-                _, _, _, ids, rows = _sets(b.column(1), min_words)
-                yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), b.column(0).take(pa.array(rows))], ["id", "key"])
+                s = _sets(b.column(1), min_words)
+                yield pa.RecordBatch.from_arrays([pa.array(s.ids.view(np.int64)), pa.array(s.checks.view(np.int64)), b.column(0).take(pa.array(s.rows))], ["id", "check", "key"])
 
-        return self.docs.mapInArrow(run, "id long, key string").distinct()
+        return self.docs.mapInArrow(run, "id long, check long, key string").distinct()
 
     def _texts(self, parts: int) -> DataFrame:
         """(part, block): one text of every set, packed and compressed by the part its identifier falls in."""
@@ -294,12 +359,12 @@ class NearDuplicates:
                 found = [(_sets(x.column(1), min_words), at * ts.MOST_TEXTS) for at, x in enumerate(ts.slices(b))]
                 if not found:
                     continue
-                ids = np.concatenate([s[3] for s, _ in found])
-                rows = np.concatenate([s[4] + at for s, at in found])
-                ids, first = np.unique(ids, return_index=True)
-                if not len(ids):
+                ids, checks = (np.concatenate([s[i] for s, _ in found]) for i in (3, 4))
+                rows = np.concatenate([s.rows + at for s, at in found])
+                first = _first_of(ids, checks)
+                if not len(first):
                     continue
-                yield _by_part(_part(ids, parts), [ids], b.column(1).take(pa.array(rows[first])))
+                yield _by_part(_part(ids[first], parts), [ids[first], checks[first]], b.column(1).take(pa.array(rows[first])))
 
         return self.docs.mapInArrow(run, PACKED)
 
@@ -310,31 +375,51 @@ class NearDuplicates:
         """
         spark = self.docs.sparkSession
         counts, n = count_words(self.docs, self.count_bits)
-        sent = spark.sparkContext.broadcast(counts)  # 1 << count_bits bytes, whatever the data
+        sent = spark.sparkContext.broadcast(counts)  # one byte a counter
         bands = bands_for(n, self.chance, self.bands)
-        parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * bands / self.part_entries))
-        min_words, chance = self.min_words, self.chance
+        min_words, chance, split, always = self.min_words, self.chance, self.split, self.bands
         share, miss = self.share, self.miss
 
+        def banded(b: pa.RecordBatch) -> tuple[Sets, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """Sets, their words, the first row of each set, and of these the bands' keys and whether they are sent."""
+            s = _sets(b.column(1), min_words)
+            words, back = np.unique(s.words, return_inverse=True)
+            if not len(s.ids):
+                return s, words, back, np.zeros(0, np.int64), np.zeros((0, bands), U), np.zeros((0, bands), bool)
+            key, alive = band_keys(words, back, s.starts, sent.value, n, bands, chance, always)
+            first = _first_of(s.ids, s.checks)  # copies within the batch go once
+            return s, words, back, first, key[first], alive[first]
+
+        def slots(b: pa.RecordBatch) -> tuple[np.ndarray, int]:
+            _, _, _, _, key, alive = banded(b)
+            key = key[alive]
+            return _slot(key, HOT_BITS), len(key)
+
+        held, total = _slot_counts(self.docs, HOT_BITS, slots)
+        held = np.ceil(counts_of(held) * 2 ** (1 / STEPS))  # from above
+        hot = np.flatnonzero(held > split)
+        deals = np.minimum(np.ceil(held[hot] / split) + 1, 60_000).astype(np.int64)
+        dealt = spark.sparkContext.broadcast((hot, deals))  # at most one for each `split` entries, and 2 ** HOT_BITS
+        total += int(((deals - 2) * held[hot]).sum()) if len(hot) else 0
+        parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / self.part_entries))
+
         def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in (x for whole in batches for x in ts.slices(whole)):
-                h, sizes, starts, ids, _ = _sets(b.column(1), min_words)
-                if not len(ids):
+                s, words, back, first, key, alive = banded(b)
+                if not len(first):
                     continue
-                words, back = np.unique(h, return_inverse=True)
-                band, alive = band_hashes(words, back, starts, sent.value, n, bands, chance)
                 alone = sent.value[_slot(words, int(sent.value.size).bit_length() - 1)] == 1
-                sig = signatures(words, back, starts, alone)
-                shared = sizes - np.add.reduceat(alone[back].astype(np.int64), starts)
-                _, first = np.unique(ids, return_index=True)  # copies within the batch go once
-                e = np.empty((len(first), bands), ENTRY)
-                e["hash"], e["id"], e["n"] = band[first] & U(0xFFFFFF), ids[first, None], np.minimum(sizes[first, None], SIZES - 1)
-                e["m"] = np.minimum(shared[first, None], SIZES - 1)
-                for i in range(4):
-                    e[f"s{i}"] = sig[first, i, None]
-                use = alive[first].reshape(-1)
-                part = ((band[first] >> U(32)) % U(parts)).astype(np.int64).reshape(-1)[use]
-                e = e.reshape(-1)[use]
+                sig = signatures(words, back, s.starts, alone)
+                shared = s.sizes - np.add.reduceat(alone[back].astype(np.int64), s.starts)
+                row, band = np.nonzero(alive)
+                row, key = _deal(row, key[row, band], s.ids[first], *dealt.value)
+                e = np.empty(len(row), ENTRY)
+                at = first[row]
+                e["hash"], e["id"] = key & U(0xFFFFFF), s.ids[at]
+                e["n"], e["m"] = np.minimum(s.sizes[at], SIZES - 1), np.minimum(shared[at], SIZES - 1)
+                for i, f in enumerate(WORDS):
+                    e[f] = sig[at, i]
+                part = ((key >> U(32)) % U(parts)).astype(np.int64)
                 if not len(e):
                     continue
                 order = np.argsort(part, kind="stable")
@@ -349,16 +434,16 @@ class NearDuplicates:
             a, b = pairs_in_buckets(e, share, agreement_bounds(miss))
             return pa.table({"part": _part(a, parts), "a": a.view(np.int64), "b": b.view(np.int64)})
 
-        packed = self.docs.mapInArrow(entries, PACKED)
+        packed = self.docs.mapInArrow(entries, PACKED).repartition(parts, "part")
         return packed.groupBy("part").applyInArrow(join, "part long, a long, b long"), parts
 
     def linked_sets(self) -> DataFrame:
-        """(a, b, common, n_a, n_b): verified pairs of different sets, each once.
+        """(a, ca, b, cb, common, n_a, n_b): verified pairs of different sets, each once.
 
         Pairs meet the text of a in a's part, go on to b's part and are compared there.
         """
         pairs, parts = self.candidates()
-        texts = self._texts(parts).groupBy("part")
+        texts = self._texts(parts).repartition(parts, "part").groupBy("part")
         num, den = self.share.numerator, self.share.denominator
 
         def attach(p: pa.Table, t: pa.Table) -> pa.Table:
@@ -368,39 +453,84 @@ class NearDuplicates:
             new = np.ones(len(a), bool)
             new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
             a, b = a[new], b[new]
-            out = _by_part(_part(b, parts), [a, b], _Texts(t).find(a)) if len(a) else None
-            return pa.Table.from_batches([out] if out else [], OUT)
+            if not len(a):
+                return pa.Table.from_batches([], OUT)
+            at, ca, ta = _Texts(t).find(a)
+            return pa.Table.from_batches([_by_part(_part(b[at], parts), [a[at], ca, b[at]], ta)], OUT)
 
         def verify(p: pa.Table, t: pa.Table) -> pa.Table:
-            got: list[list] = [[] for _ in range(5)]
+            got: list[list] = [[] for _ in range(7)]
             store = _Texts(t)
             for x in p.column("block"):
-                (a, b), ta = _unblock(x.as_py(), 2)
-                tb = store.find(b)
-                for at in range(0, len(a), ts.MOST_TEXTS):
-                    (ha, wa, na), (hb, wb, nb) = (ts.distinct(ts.scan(y.slice(at, ts.MOST_TEXTS))) for y in (ta, tb))
+                (a, ca, b), ta = _unblock(x.as_py(), 3)
+                at, cb, tb = store.find(b)
+                a, ca, b, ta = a[at], ca[at], b[at], ta.take(pa.array(at))
+                for z in range(0, len(a), ts.MOST_TEXTS):
+                    (ha, wa, na), (hb, wb, nb) = (ts.distinct(ts.scan(y.slice(z, ts.MOST_TEXTS))) for y in (ta, tb))
                     both = np.sort(np.r_[wa.astype(U) << U(52) | ha >> U(12), wb.astype(U) << U(52) | hb >> U(12)])
                     twice = both[1:][both[1:] == both[:-1]] >> U(52)
                     common = np.bincount(twice.astype(np.int64), minlength=len(na))
                     ok = np.flatnonzero(common * den >= num * np.maximum(na, nb))
-                    for g, v in zip(got, (a[at:][ok].view(np.int64), b[at:][ok].view(np.int64), common[ok], na[ok], nb[ok])):
+                    for g, v in zip(got, (*(v[z:][ok].view(np.int64) for v in (a, ca, b, cb)), common[ok], na[ok], nb[ok])):
                         g.append(v)
-            names = ("a", "b", "common", "n_a", "n_b")
+            names = ("a", "ca", "b", "cb", "common", "n_a", "n_b")
             return pa.table({k: np.concatenate(g) if g else np.zeros(0, np.int64) for k, g in zip(names, got)})
 
-        half = pairs.groupBy("part").cogroup(texts).applyInArrow(attach, PACKED)
-        return half.groupBy("part").cogroup(texts).applyInArrow(verify, "a long, b long, common long, n_a long, n_b long")
+        half = pairs.repartition(parts, "part").groupBy("part").cogroup(texts).applyInArrow(attach, PACKED)
+        return half.repartition(parts, "part").groupBy("part").cogroup(texts).applyInArrow(verify, "a long, ca long, b long, cb long, common long, n_a long, n_b long")
 
     def key_pairs(self) -> DataFrame:
         """(key_a, key_b): every pair of keys, copies included."""
         members = self.members()
-        x = members.select(F.col("id").alias("a"), F.col("key").alias("ka"))
-        y = members.select(F.col("id").alias("b"), F.col("key").alias("kb"))
-        across = self.linked_sets().select("a", "b").join(x, "a").join(y, "b")
+        x = members.select(F.col("id").alias("a"), F.col("check").alias("ca"), F.col("key").alias("ka"))
+        y = members.select(F.col("id").alias("b"), F.col("check").alias("cb"), F.col("key").alias("kb"))
+        across = self.linked_sets().select("a", "ca", "b", "cb").join(x, ["a", "ca"]).join(y, ["b", "cb"])
         across = across.select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).filter("key_a <> key_b")
-        within = x.join(y, (F.col("a") == F.col("b")) & (F.col("ka") < F.col("kb"))).select(F.col("ka").alias("key_a"), F.col("kb").alias("key_b"))
+        within = x.join(y, (F.col("a") == F.col("b")) & (F.col("ca") == F.col("cb")) & (F.col("ka") < F.col("kb"))).select(F.col("ka").alias("key_a"), F.col("kb").alias("key_b"))
         return across.unionByName(within).distinct()
 
+    def classes(self) -> DataFrame:
+        """(key, class_key, n_links): one row a key with the smallest key of its class and its number of partners.
+
+        Copies are not expanded: a key's partners are the others of its class and all of the classes linked with it.
+        """
+        members = self.members()
+        sizes = members.groupBy("id", "check").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("class_key"))
+        links = self.linked_sets().select("a", "ca", "b", "cb")
+        both = links.unionAll(links.select("b", "cb", "a", "ca"))
+        there = sizes.select(F.col("id").alias("b"), F.col("check").alias("cb"), "size")
+        more = both.join(there, ["b", "cb"]).groupBy(F.col("a").alias("id"), F.col("ca").alias("check")).agg(F.sum("size").alias("more"))
+        per = sizes.join(more, ["id", "check"], "left").select("id", "check", "class_key", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+        return members.join(per, ["id", "check"]).select("key", "class_key", "n_links")
+
+
+def _first_of(ids: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """The first place of each different (id, check)."""
+    if not len(ids):
+        return np.zeros(0, np.int64)
+    order = np.lexsort((checks, ids))
+    i, c = ids[order], checks[order]
+    return np.sort(order[np.r_[True, (i[1:] != i[:-1]) | (c[1:] != c[:-1])]])
+
+
+def _deal(row: np.ndarray, key: np.ndarray, ids: np.ndarray, hot: np.ndarray, deals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of hot buckets once for each pair of blocks that theirs is one of, under a key of that pair's own."""
+    if not len(hot):
+        return row, key
+    slot = _slot(key, HOT_BITS)
+    at = np.minimum(np.searchsorted(hot, slot), len(hot) - 1)
+    is_hot = hot[at] == slot
+    if not is_hot.any():
+        return row, key
+    r, k, g = row[is_hot], key[is_hot], deals[at[is_hot]]
+    own = (ts.mix(ids[r] ^ ts.BASES[0]) % g.astype(U)).astype(np.int64)
+    other = ts.ragged(np.cumsum(g) - g, int(g.sum()))
+    r, k, own = np.repeat(r, g), np.repeat(k, g), np.repeat(own, g)
+    apart = own != other
+    lo, hi = np.minimum(own, other)[apart], np.maximum(own, other)[apart]
+    own_key = ts.mix(k[apart] ^ ts.mix((lo << 32 | hi).astype(U) + U(1)))
+    return np.r_[row[~is_hot], r[apart]], np.r_[key[~is_hot], own_key]
+
 
 PACKED = "part long, block binary"
 OUT = pa.schema([("part", pa.int64()), ("block", pa.binary())])
@@ -448,14 +578,20 @@ class _Texts:
     """The texts of a part, by identifier."""
 
     def __init__(self, blocks: pa.Table):
-        parts = [_unblock(x.as_py(), 1) for x in blocks.column("block")]
-        known = np.concatenate([p[0][0] for p in parts])
+        parts = [_unblock(x.as_py(), 2) for x in blocks.column("block")]
+        known, checks = (np.concatenate([p[0][i] for p in parts]) for i in (0, 1))
+        first = _first_of(known, checks)
+        order = first[np.argsort(known[first], kind="stable")]
+        self.known, self.checks, self.order = known[order], checks[order], order
         self.texts = pa.concat_arrays([p[1] for p in parts])
-        self.order = np.argsort(known, kind="stable")
-        self.known = known[self.order]
 
-    def find(self, ids: np.ndarray) -> pa.Array:
-        return self.texts.take(pa.array(self.order[np.searchsorted(self.known, ids)]))
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Place in ids, check and text of every set with one of the identifiers (several, should two sets share one)."""
+        lo = np.searchsorted(self.known, ids)
+        n = np.searchsorted(self.known, ids, "right") - lo
+        at = np.repeat(np.arange(len(ids)), n)
+        place = np.repeat(lo, n) + ts.ragged(np.cumsum(n) - n, int(n.sum()))
+        return at, self.checks[place], self.texts.take(pa.array(self.order[place]))
 
 
 #: A part holds about as many entries at any size, so 24 bits of a band's hash tell its buckets apart; a rare mixture of
@@ -476,10 +612,3 @@ def _unpack(raw: bytes) -> np.ndarray:
         e[f] = np.frombuffer(raw, kind, k, at)
         at += k * kind.itemsize
     return e
-
-
-def group_links(keys: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, n_links): how many partners each key has, 0 included."""
-    ends = pairs.select(F.col("key_a").alias("key")).unionAll(pairs.select(F.col("key_b").alias("key")))
-    n = ends.groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    return keys.join(n, "key", "left").select("key", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.llm import setsketch
 from millrace.llm import textscan as ts
 from millrace.llm.foldhash import collapse_copies, hash_batch, same_text
-from millrace.llm.setsketch import NearDuplicates, group_links
+from millrace.llm.setsketch import NearDuplicates
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -61,13 +61,14 @@ def test_bands_of_larger_corpora_lose_no_more(n):
     rng = np.random.default_rng(1)
     words = ts.mix(np.arange(400, dtype=np.uint64))
     codes = np.zeros(1 << 22, np.uint8)
-    codes[setsketch._slot(words, 22)] = 1 + int(8 * np.log2(n / 20))  # every word in a twentieth of the texts
+    codes[setsketch._slot(words, 22)] = setsketch.count_codes(np.array([n // 20]))  # every word in a twentieth of the texts
     sets = [rng.permutation(400)[:24] for _ in range(2000)]
     rows = [r for s in sets for r in (s[:20], s[4:])]  # 16 of 20 words in common
-    n_bands = setsketch.bands_for(n, 1024.0, 8)
-    band, alive = setsketch.band_hashes(words, np.concatenate(rows), np.arange(len(rows)) * 20, codes, n, n_bands, 1024.0)
-    found = ((band[::2] == band[1::2]) & alive[::2] & alive[1::2]).any(axis=1)
-    assert found.mean() >= 0.99
+    n_bands = setsketch.bands_for(n, 1024.0, 16)
+    key, alive = setsketch.band_keys(words, np.concatenate(rows), np.arange(len(rows)) * 20, codes, n, n_bands, 1024.0, 16)
+    key[~alive] = np.arange((~alive).sum(), dtype=np.uint64)
+    found = (key[::2, :, None] == key[1::2, None, :]).any(axis=(1, 2))
+    assert found.mean() >= 0.997
 
 
 def test_pairs_of_odd_rows(spark):
@@ -81,6 +82,53 @@ def test_pairs_of_odd_rows(spark):
     assert NearDuplicates(df.limit(0), "key", "text").key_pairs().count() == 0
 
 
+def test_codes_hold_every_count():
+    counts = np.array([0, 1, 2, 3, 1 << 31, 1 << 32, 1 << 36, 1 << 62])
+    codes = setsketch.count_codes(counts)
+    assert codes[:2].tolist() == [0, 1] and (np.diff(codes.astype(int)) > 0).all()
+    back = setsketch.counts_of(codes)
+    assert (back <= counts).all() and (back * 2 ** (1 / setsketch.STEPS) >= counts).all()
+
+
+def test_sizes_beyond_the_limit_only_keep_more():
+    share, bounds = setsketch.Fraction("0.7"), setsketch.agreement_bounds(0.001)
+    rng = np.random.default_rng(4)
+    na, ma = rng.integers(5, 2000, (2, 4000))
+    nb, mb = rng.integers(5, 2000, (2, 4000))
+    ma, mb = np.minimum(na, ma), np.minimum(nb, mb)
+    equal = rng.integers(0, setsketch.SIGNATURE + 1, 4000)
+    whole = setsketch.passes(equal, na, ma, nb, mb, share, bounds)
+    short = setsketch.passes(equal, *(np.minimum(x, setsketch.SIZES - 1) for x in (na, ma, nb, mb)), share, bounds)
+    assert not (whole & ~short & (np.minimum(ma, mb) * 10 >= 7 * np.maximum(na, nb)) & (na == ma) & (nb == mb)).any()
+
+
+def test_hot_buckets_are_dealt_into_blocks(spark):
+    rng = random.Random(5)
+    same = [f"t{i}" for i in range(9)]
+    rows = [(f"k{i:03}", " ".join([*same, *(f"v{rng.randrange(30)}a{j}" for j in range(3))])) for i in range(240)]
+    df = spark.createDataFrame(rows, "key string, text string")
+    got, whole = ({tuple(r) for r in NearDuplicates(df, "key", "text", split=k).key_pairs().collect()} for k in (20, 20_000))
+    want = brute_pairs(rows)
+    assert got == whole and not got - want and len(got) >= 0.997 * len(want)
+
+
+def test_classes_count_the_partners_of_copies(spark):
+    rows = corpus(60) + [(f"copy{i}", corpus(60)[0][1]) for i in range(3)]
+    df = spark.createDataFrame(rows, "key string, text string")
+    near = NearDuplicates(df, "key", "text")
+    pairs = [tuple(r) for r in near.key_pairs().collect()]
+    got = {r["key"]: (r["class_key"], r["n_links"]) for r in near.classes().collect()}
+    assert set(got) == {k for k, _ in rows}
+    assert all(n == sum(k in p for p in pairs) for k, (_, n) in got.items())
+    assert len({got[k][0] for k in ("copy0", "copy1", "copy2", "k0000")}) == 1
+
+
+def test_sets_with_one_identifier_stay_apart():
+    t = setsketch._by_part(np.zeros(3, np.int64), [np.array([7, 7, 9], np.uint64), np.array([1, 2, 3], np.uint64)], pa.array(["a", "b", "c"]))
+    at, checks, texts = setsketch._Texts(pa.Table.from_batches([t])).find(np.array([9, 7], np.uint64))
+    assert at.tolist() == [0, 1, 1] and checks.tolist() == [3, 1, 2] and texts.to_pylist() == ["c", "a", "b"]
+
+
 def test_a_third_of_all_rows_is_one_text(spark):
     hot = spark.range(3000).select(F.concat(F.lit("h"), "id").alias("key"), F.lit("one and the same text here for all").alias("text"))
     rest = spark.range(6000).select(F.concat(F.lit("r"), "id").alias("key"), F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), "id") for i in range(8)]).alias("text"))
@@ -89,12 +137,6 @@ def test_a_third_of_all_rows_is_one_text(spark):
     assert n.members().filter("key LIKE 'h%'").select("id").distinct().count() == 1
 
 
-def test_link_counts(spark):
-    keys = spark.createDataFrame([("a",), ("b",), ("c",)], "key string")
-    pairs = spark.createDataFrame([("a", "b")], "key_a string, key_b string")
-    assert {r["key"]: r["n_links"] for r in group_links(keys, pairs).collect()} == {"a": 1, "b": 1, "c": 0}
-
-
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(max_size=40), st.text(alphabet="aB1 .-é\n", max_size=30)), max_size=8))
 def test_scan_finds_the_words(texts):
