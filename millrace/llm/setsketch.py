@@ -26,8 +26,9 @@ Texts with the same set of words make one class and go through 2-4 once; a class
 are made one within a batch before anything is shuffled, so a text with a third of all copies costs one entry a batch and
 band. Entries are shuffled as packed binary blocks, 37 bytes an entry, into as many parts as their number asks for.
 
-Hot buckets: the entries of each bucket are counted beforehand, in a fixed table whose counters never count too little. A
-bucket of more than `split` entries is dealt into blocks, and each two blocks meet in a part of their own. None is cut.
+Hot buckets: a part is read as a stream and held up to `split` entries. What is held is compared; if the part goes on (a
+hot bucket fell into it), it is also written as a block, to be compared with each later block of the part in a task of
+that block's own. So no task holds more than two blocks, and no bucket is cut.
 
 Defined cases: null and empty texts and those of fewer than min_words different words have no partner; a key delivered
 again counts once; pairs come out once with the smaller key first; a pair lies above the threshold if the common words
@@ -56,7 +57,7 @@ from millrace.llm import textscan as ts
 U = np.uint64
 #: Base and limit of the registers' scale; 16 bits hold q + 2 values.
 B, Q, RATE = 1.001, (1 << 16) - 2, 4096  # RATE: log_b of the exponentials' common rate
-REGISTERS = 64
+REGISTERS = 48
 DEPTH = 8  # most registers in a band
 BANDS_PER_BIT = 3.0  # bands for each bit that a band asks for
 DEEP = 3  # the words that win in a band beyond the first ones
@@ -66,9 +67,8 @@ WORDS = ("s0", "s1", "s2")
 SIZES = 256  # larger sets count as this large in the estimate, which only keeps more
 STEPS = 4  # codes of counts for each power of two: one byte holds every count of 63 bits
 COUNT_BITS = (22, 25)  # least and most
-HOT_BITS = 22  # counters of buckets' entries
 SLICES = 64
-STRIP = 20  # registers worked on at a time, for the processor's caches
+STRIP = 16  # registers worked on at a time, for the processor's caches
 BLOCK = 512
 
 
@@ -331,7 +331,7 @@ def bands_for(n: int, chance: float, least: int) -> int:
 class NearDuplicates:
     """The parts of the join; docs needs the columns key and text."""
 
-    def __init__(self, docs: DataFrame, key: str, text: str, share: float = 0.7, min_words: int = 5, bands: int = 16, chance: float = 1024.0, miss: float = 0.001, count_bits: int | None = None, part_entries: int = 300_000, split: int = 20_000):
+    def __init__(self, docs: DataFrame, key: str, text: str, share: float = 0.7, min_words: int = 5, bands: int = 14, chance: float = 256.0, miss: float = 0.003, count_bits: int | None = None, part_entries: int = 300_000, split: int = 1_000_000):
         self.share, self.min_words = Fraction(str(share)), min_words
         self.docs = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).filter("key IS NOT NULL AND text IS NOT NULL")
         self.bands, self.chance, self.miss, self.part_entries, self.split = bands, chance, miss, part_entries, split
@@ -369,9 +369,9 @@ class NearDuplicates:
         return self.docs.mapInArrow(run, PACKED)
 
     def candidates(self) -> tuple[DataFrame, int]:
-        """(part, a, b): identifiers of sets that agree in a band and pass the joint estimate, and the number of parts.
+        """(part, block): packed identifiers of sets that agree in a band and pass the joint estimate; and the number of parts.
 
-        A pair may come from several bands; part is that of a.
+        A pair may come from several bands and blocks; part is that of its first identifier.
         """
         spark = self.docs.sparkSession
         counts, n = count_words(self.docs, self.count_bits)
@@ -390,18 +390,7 @@ class NearDuplicates:
             first = _first_of(s.ids, s.checks)  # copies within the batch go once
             return s, words, back, first, key[first], alive[first]
 
-        def slots(b: pa.RecordBatch) -> tuple[np.ndarray, int]:
-            _, _, _, _, key, alive = banded(b)
-            key = key[alive]
-            return _slot(key, HOT_BITS), len(key)
-
-        held, total = _slot_counts(self.docs, HOT_BITS, slots)
-        held = np.ceil(counts_of(held) * 2 ** (1 / STEPS))  # from above
-        hot = np.flatnonzero(held > split)
-        deals = np.minimum(np.ceil(held[hot] / split) + 1, 60_000).astype(np.int64)
-        dealt = spark.sparkContext.broadcast((hot, deals))  # at most one for each `split` entries, and 2 ** HOT_BITS
-        total += int(((deals - 2) * held[hot]).sum()) if len(hot) else 0
-        parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / self.part_entries))
+        parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * bands / self.part_entries))
 
         def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in (x for whole in batches for x in ts.slices(whole)):
@@ -412,7 +401,7 @@ class NearDuplicates:
                 sig = signatures(words, back, s.starts, alone)
                 shared = s.sizes - np.add.reduceat(alone[back].astype(np.int64), s.starts)
                 row, band = np.nonzero(alive)
-                row, key = _deal(row, key[row, band], s.ids[first], *dealt.value)
+                key = key[row, band]
                 e = np.empty(len(row), ENTRY)
                 at = first[row]
                 e["hash"], e["id"] = key & U(0xFFFFFF), s.ids[at]
@@ -429,13 +418,56 @@ class NearDuplicates:
                 blocks = [b"".join(_pack(x)) for x in np.split(e, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(blocks, pa.binary())], ["part", "block"])
 
-        def join(t: pa.Table) -> pa.Table:
-            e = np.concatenate([_unpack(x.as_py()) for x in t.column("block")])
-            a, b = pairs_in_buckets(e, share, agreement_bounds(miss))
-            return pa.table({"part": _part(a, parts), "a": a.view(np.int64), "b": b.view(np.int64)})
+        def found(e: np.ndarray, later: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+            a, b = pairs_in_buckets(e if later is None else np.concatenate([e, later]), share, agreement_bounds(miss))
+            if len(a):
+                at, blocks = _runs(_part(a, parts), np.stack([a, b], axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([0] * len(at), pa.int32()), pa.array(blocks, pa.binary())], GROUPS.names)
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Pairs (role 0) and, of parts with more than one block, the blocks: role 1 under their own group, 2 under those of all before."""
+            part, held, size, number = None, [], 0, 0
+
+            def close(more: bool) -> Iterator[pa.RecordBatch]:
+                if not held:
+                    return
+                yield from found(np.concatenate([_unpack(x) for x in held]))
+                if more or number:
+                    block = _join(held)
+                    own = [_group(part, number, parts)] if more else []
+                    before = [_group(part, i, parts) for i in range(number)]
+                    for g, role in [*((g, 1) for g in own), *((g, 2) for g in before)]:
+                        yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([role], pa.int32()), pa.array([block], pa.binary())], GROUPS.names)
 
-        packed = self.docs.mapInArrow(entries, PACKED).repartition(parts, "part")
-        return packed.groupBy("part").applyInArrow(join, "part long, a long, b long"), parts
+            for b in batches:
+                for p, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    k = int(np.frombuffer(x, np.uint32, 1)[0])
+                    if p != part or held and size + k > split:
+                        yield from close(p == part)
+                        number = number + 1 if p == part else 0
+                        part, held, size = p, [], 0
+                    held.append(x)
+                    size += k
+            yield from close(False)
+
+        def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Pairs go through; a block meets the later ones of its group, which come one by one."""
+            left = None
+            for b in batches:
+                for g, role, x in zip(*(b.column(i).to_pylist() for i in range(3))):
+                    if role == 0:
+                        yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([0], pa.int32()), pa.array([x], pa.binary())], GROUPS.names)
+                    elif role == 1:
+                        left = _unpack(x)
+                    else:
+                        later = _unpack(x)
+                        at = np.isin(later["hash"], left["hash"])
+                        yield from found(left[np.isin(left["hash"], later["hash"])], later[at])
+
+        packed = self.docs.mapInArrow(entries, PACKED).repartition(parts, "part").sortWithinPartitions("part")
+        kind = "grp long, role int, block binary"
+        some = packed.mapInArrow(compare, kind).repartition(parts, "grp").sortWithinPartitions("grp", "role").mapInArrow(across, kind)
+        return some.select(F.col("grp").alias("part"), "block"), parts
 
     def linked_sets(self) -> DataFrame:
         """(a, ca, b, cb, common, n_a, n_b): verified pairs of different sets, each once.
@@ -447,7 +479,7 @@ class NearDuplicates:
         num, den = self.share.numerator, self.share.denominator
 
         def attach(p: pa.Table, t: pa.Table) -> pa.Table:
-            a, b = (p.column(c).to_numpy().view(U) for c in ("a", "b"))
+            a, b = np.frombuffer(b"".join(p.column("block").to_pylist()), U).reshape(-1, 2).T
             order = np.lexsort((b, a))
             a, b = a[order], b[order]
             new = np.ones(len(a), bool)
@@ -513,25 +545,25 @@ def _first_of(ids: np.ndarray, checks: np.ndarray) -> np.ndarray:
     return np.sort(order[np.r_[True, (i[1:] != i[:-1]) | (c[1:] != c[:-1])]])
 
 
-def _deal(row: np.ndarray, key: np.ndarray, ids: np.ndarray, hot: np.ndarray, deals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entries of hot buckets once for each pair of blocks that theirs is one of, under a key of that pair's own."""
-    if not len(hot):
-        return row, key
-    slot = _slot(key, HOT_BITS)
-    at = np.minimum(np.searchsorted(hot, slot), len(hot) - 1)
-    is_hot = hot[at] == slot
-    if not is_hot.any():
-        return row, key
-    r, k, g = row[is_hot], key[is_hot], deals[at[is_hot]]
-    own = (ts.mix(ids[r] ^ ts.BASES[0]) % g.astype(U)).astype(np.int64)
-    other = ts.ragged(np.cumsum(g) - g, int(g.sum()))
-    r, k, own = np.repeat(r, g), np.repeat(k, g), np.repeat(own, g)
-    apart = own != other
-    lo, hi = np.minimum(own, other)[apart], np.maximum(own, other)[apart]
-    own_key = ts.mix(k[apart] ^ ts.mix((lo << 32 | hi).astype(U) + U(1)))
-    return np.r_[row[~is_hot], r[apart]], np.r_[key[~is_hot], own_key]
+def _runs(part: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Each part and the bytes of its rows."""
+    order = np.argsort(part, kind="stable")
+    part, rows = part[order], rows[order]
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    return part[cuts], [x.tobytes() for x in np.split(rows, cuts[1:])]
+
+
+def _group(part: int, number: int, parts: int) -> int:
+    """A group for a block, apart from those of pairs."""
+    return parts + part + (number << 40)
+
+
+def _join(blocks: list[bytes]) -> bytes:
+    """Packed entries of several blocks as one."""
+    return b"".join(_pack(np.concatenate([_unpack(x) for x in blocks])))
 
 
+GROUPS = pa.schema([("grp", pa.int64()), ("role", pa.int32()), ("block", pa.binary())])
 PACKED = "part long, block binary"
 OUT = pa.schema([("part", pa.int64()), ("block", pa.binary())])
 
