@@ -12,26 +12,34 @@ Reading a corpus thus costs one lookup an n-gram, no shuffle, and a model of bou
 
 Training takes the labels as they are, wrong ones included: prototypes are made from the sentences of labelled rows, the
 sentences are then read with them, and prototypes are made again from those that are read as labelled. It uses a sample
-of at most train_rows labelled rows (those with the smallest hash of their identifier) and at most TRAIN_CHARS code
-points of each; everything else covers all rows and whole texts.
+of about train_rows labelled rows, whole texts, drawn by a hash of their identifier; everything else covers all rows.
+N-grams are counted in the executors; what comes to the driver is at most one number for each n-gram and language, and
+there are 2 ** 18 n-grams. A model can be saved and loaded.
+
+Batches are read in NumPy: code points run through tables of letters, words and digits; only the ends of sentences are
+looked for in text form.
 
 Defined cases: null, empty and blank texts and what is no language (cosine under LEAST, or fewer than min_words words)
-have no language and no confidence; ties go to the first language in the order given; texts are read whole; repeated
+have no language and no confidence, and of a sentence's words at least LEAST_PLAIN must be without digits; ties go to the first language in the order given; texts are read whole; repeated
 rows are all read; an empty table, or one without any labelled row, gives no languages; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import regex
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.keys import stripped
+from millrace.session import cut
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it")
 #: Other ways of writing a language's name; fixed values.
@@ -47,16 +55,15 @@ DIMENSIONS = 8192
 N = 3
 LEAST = 0.06
 SHARPNESS = 24.0
-TRAIN_CHARS = 20_000
 #: Letters with a vector of their own; other letters share one. Symbol 0 is what stands between words.
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7) + "œ"
 OTHER = len(LETTERS) + 1
 BITS = 6
-#: A sentence ends after a run of these, with closing marks, before white space or the end; or at an empty line.
-SENTENCE = regex.compile(r"(?:[^.!?…\n]|[.!?…]+(?![.!?…\s»”\"'’)\]]|$)|\n(?!\s*\n))+[.!?…]*[»”\"'’)\]]*")
-#: Tokens with digits, addresses and runs of one sign tell nothing of the language.
-NO_WORD = regex.compile(r"\d|://|(\S)\1{3}")
-WORD = regex.compile(r"[\p{L}\p{N}]+")
+#: A sentence ends after a run of marks, with closing ones, before white space, closing marks or the end; or at an empty line.
+END = re.compile(r"[.!?…]+(?=[\s»”\"'’)\]]|$)[»”\"'’)\]]*|\n(?=\s*\n)")
+#: Words of letters alone that a sentence needs to be read.
+LEAST_PLAIN = 3
+MOST_BYTES = 1 << 22
 
 
 class Model(NamedTuple):
@@ -75,44 +82,104 @@ def declared_language(c: Column | str) -> Column:
     return out
 
 
-def _symbols() -> np.ndarray:
-    t = np.zeros(0x110000, np.uint8)
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: the letter's symbol; and 1 for letters and digits, 2 for digits, 4 for white space."""
+    symbol, kind = np.zeros(0x110000, np.uint8), np.zeros(0x110000, np.uint8)
+    for i in range(0x110000):
+        c = chr(i)
+        if c.isalnum():
+            kind[i] = 1 | 2 * c.isdecimal()
+        elif c.isspace():
+            kind[i] = 4
     for i in range(0x10000):
         c = chr(i)
         if c.isalpha():
             k = LETTERS.find(c.lower()[0])
-            t[i] = k + 1 if k >= 0 else OTHER
-    t[0x10000:0x30000] = OTHER  # letters beyond the basic plane, pictures among them
-    t[0x1F000:0x1FB00] = 0
-    return t
-
-
-_TABLE: list[np.ndarray] = []
-
-
-def _table() -> np.ndarray:
-    if not _TABLE:
-        _TABLE.append(_symbols())
-    return _TABLE[0]
-
-
-def gram_codes(sentences: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram codes of all sentences and the sentence each is of; runs of non-letters count as one gap."""
-    sentences = [telling(x) for x in sentences]
-    joined = "\n".join(sentences) + "\n"
-    s = _table()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
-    of = np.repeat(np.arange(len(sentences)), np.fromiter((len(x) + 1 for x in sentences), np.int64, len(sentences)))
+            symbol[i] = k + 1 if k >= 0 else OTHER
+    symbol[0x10000:0x30000] = OTHER  # letters beyond the basic plane, pictures among them
+    symbol[0x1F000:0x1FB00] = 0
+    return symbol, kind
+
+
+class Parsed(NamedTuple):
+    """The sentences of a batch of texts."""
+
+    text: np.ndarray  # which text each is of
+    start: np.ndarray  # in code points of the text
+    end: np.ndarray
+    words: np.ndarray  # runs of letters and digits, but for addresses and runs of one sign
+    plain: np.ndarray  # words of tokens without digits among them
+    code: np.ndarray  # n-grams
+    of: np.ndarray  # the sentence of each n-gram
+
+
+def parse(texts: Sequence[str | None]) -> Parsed:
+    """Sentences with at least one word, and their n-grams; runs of non-letters count as one gap.
+
+    Tokens with digits, addresses and runs of one sign (four or more) tell nothing of the language and are gaps.
+    """
+    symbol, kind = _tables()
+    texts = [t or "" for t in texts]
+    text, ends = [], []
+    for i, t in enumerate(texts):
+        at = [m.end() for m in END.finditer(t)]
+        if t and (not at or at[-1] != len(t)):
+            at.append(len(t))
+        text += [i] * len(at)
+        ends += at
+    z = np.zeros(0, np.int64)
+    if not ends:
+        return Parsed(z, z, z, z, z, z, z)
+    text, end = np.array(text), np.array(ends)
+    first = np.r_[True, text[1:] != text[:-1]]
+    start = np.where(first, 0, np.r_[0, end[:-1]])
+    base = np.r_[0, np.cumsum([len(t) + 1 for t in texts])]
+    codes = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(end)
+    length = end - start
+    last = np.r_[first[1:], True]
+    filled = np.flatnonzero(np.fromiter(map(bool, texts), bool, len(texts)))
+    kept = np.ones(len(codes), bool)  # the line ends after empty texts are no sentence's
+    kept[base[:-1][np.setdiff1d(np.arange(len(texts)), filled)]] = False
+    codes = codes[kept]
+    of = np.repeat(np.arange(n), length + last)
+    k = kind[codes]
+    s = symbol[codes]
+    # tokens between white space
+    space = k == 4
+    token = np.cumsum(space)
+    tokens = int(token[-1]) + 1
+    odd = np.zeros(tokens, bool)
+    same = (codes[1:] == codes[:-1]) & ~space[1:]
+    if len(codes) > 3:
+        odd[token[3:][same[2:] & same[1:-1] & same[:-2]]] = True
+        odd[token[2:][(codes[:-2] == ord(":")) & (codes[1:-1] == ord("/")) & (codes[2:] == ord("/"))]] = True
+    digits = odd.copy()
+    digits[token[k & 2 > 0]] = True
+    alnum = k & 1 > 0
+    begin = alnum.copy()
+    begin[1:] &= ~alnum[:-1] | (of[1:] != of[:-1])
+    begin = np.flatnonzero(begin)
+    words = np.bincount(of[begin[~odd[token[begin]]]], minlength=n)
+    plain = np.bincount(of[begin[~digits[token[begin]]]], minlength=n)
+    s = np.where(digits[token], 0, s).astype(np.int64)
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] > 0) | (s[:-1] > 0)
     keep[0] = s[0] > 0
-    s, of = s[keep], of[keep]
-    # each sentence begins with a gap as well: the one that ends the sentence before
+    s, o = s[keep], of[keep]
+    if len(s) and s[0] > 0:  # a sentence begins with a gap: that which ends the one before
+        s, o = np.r_[0, s], np.r_[o[0], o]
     code = np.zeros(max(len(s) - N + 1, 0), np.int64)
     for i in range(N):
         code = code << BITS | s[i : len(code) + i]
-    who = of[N - 1 :][: len(code)]
-    inside = (of[: len(code)] == who) | ((s[: len(code)] == 0) & (of[1:][: len(code)] == who))
-    return code[inside], who[inside]
+    who = o[N - 1 :][: len(code)]
+    inside = (o[: len(code)] == who) | ((s[: len(code)] == 0) & (o[1:][: len(code)] == who))
+    code, who = code[inside], who[inside]
+    some = words > 0
+    new = np.cumsum(some) - 1
+    use = some[who]
+    return Parsed(text[some], start[some], end[some], words[some], plain[some], code[use], new[who[use]])
 
 
 def gram_vectors(codes: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -124,15 +191,16 @@ def gram_vectors(codes: np.ndarray, seed: int = 0) -> np.ndarray:
     return out
 
 
-def _build(code: np.ndarray, label: np.ndarray, languages: tuple[str, ...]) -> Model:
-    """Prototypes bundle each n-gram as far as it tells the languages apart: by the share of its uses that each has."""
-    grams, back = np.unique(code, return_inverse=True)
+def build(counts: np.ndarray, grams: np.ndarray, languages: tuple[str, ...] = LANGUAGES) -> Model:
+    """A model from [language, gram] counts; prototypes bundle each n-gram as far as it tells the languages apart.
+
+    That is by the share of its uses that each language has.
+    """
     k, g = len(languages), len(grams)
-    counts = np.bincount(label * g + back, minlength=k * g).reshape(k, g).astype(float) if g else np.zeros((k, 0))
     total = counts.sum(axis=1, keepdims=True)
     some = total[:, 0] > 0
     rate = np.where(total > 0, counts / np.maximum(total, 1), 0) * 1e5
-    weight = (rate + 0.5) / (rate + 0.5)[some].sum(axis=0) - 1 / max(some.sum(), 1) if g else rate
+    weight = (rate + 0.5) / (rate + 0.5)[some].sum(axis=0) - 1 / max(some.sum(), 1) if g and some.any() else rate
     weight[~some] = 0
     prototypes = np.zeros((k, DIMENSIONS), np.float32)
     for at in range(0, g, 1024):
@@ -157,14 +225,13 @@ def scores(code: np.ndarray, of: np.ndarray, n: int, m: Model) -> np.ndarray:
     return out
 
 
-def cosines(sentences: Sequence[str], m: Model) -> np.ndarray:
+def cosines(p: Parsed, m: Model) -> np.ndarray:
     """[sentence, language]"""
-    n = len(sentences)
-    code, of = gram_codes(sentences) if n else (np.zeros(0, np.int64),) * 2
-    out = scores(code, of, n, m)
-    if len(code):
+    n = len(p.text)
+    out = scores(p.code, p.of, n, m)
+    if len(p.code):
         # length of each sentence's vector over sqrt(DIMENSIONS): root of the sum of squared n-gram counts
-        both = np.sort(of << BITS * N | code)
+        both = np.sort(p.of << BITS * N | p.code)
         first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
         times = np.diff(np.r_[first, len(both)]).astype(float)
         length = np.sqrt(np.bincount(both[first] >> BITS * N, times**2, minlength=n))
@@ -172,75 +239,27 @@ def cosines(sentences: Sequence[str], m: Model) -> np.ndarray:
     return out
 
 
-def train(texts: Sequence[str], labels: Sequence[str], languages: tuple[str, ...] = LANGUAGES, min_words: int = 6) -> Model:
-    known = {x: i for i, x in enumerate(languages)}
-    sentences, label = [], []
-    for t, l in zip(texts, labels):
-        if t and l in known:
-            for s in sentences_of(t):
-                if s[3] >= min_words:
-                    sentences.append(s[2])
-                    label.append(known[l])
-    if not sentences:
-        return Model(languages, np.zeros(0, np.int64), np.zeros((0, len(languages)), np.float32))
-    lab = np.array(label)
-    code, of = gram_codes(sentences)
-    m = _build(code, lab[of], languages)
-    for _ in range(2):
-        good = scores(code, of, len(lab), m).argmax(axis=1) == lab
-        use = good[of]
-        m = _build(code[use], lab[of][use], languages)
-    return m
-
-
-def _plain(w: str) -> bool:
-    """Whether a token tells of its language; most are seen at once to have no sign four times."""
-    return (w.isalpha() and len(set(w)) > len(w) - 3) or not NO_WORD.search(w)
-
-
-def telling(text: str) -> str:
-    """The text without tokens that tell nothing of its language."""
-    return " ".join(w for w in text.split() if _plain(w)) if NO_WORD.search(text) else text
-
-
-def count_words(text: str) -> int:
-    """Words of a sentence, whole numbers included; addresses, codes and the like are none."""
-    if not NO_WORD.search(text):
-        return len(WORD.findall(text))
-    return sum(len(WORD.findall(w)) if _plain(w) else w.strip(".,;:!?»").isdigit() for w in text.split())
-
-
-def sentences_of(text: str) -> list[tuple[int, int, str, int]]:
-    """(start, end, text, words) of each sentence, in code points."""
-    out = []
-    for s in SENTENCE.finditer(text):
-        n = count_words(s[0])
-        if n:
-            out.append((s.start(), s.end(), s[0], n))
-    return out
+class Read(NamedTuple):
+    """Sentences of a batch: their texts, places, words, language (its place in the model, -1 for none) and confidence."""
 
+    text: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    words: np.ndarray
+    lang: np.ndarray
+    sure: np.ndarray
 
-class Reader:
-    def __init__(self, model: Model, min_words: int = 6):
-        self.model, self.min_words = model, min_words
-
-    def read(self, texts: Sequence[str | None]) -> list[list[tuple[int, int, int, str | None, float]]]:
-        """For each text its sentences: start, end, words, language, confidence."""
-        parts = [sentences_of(t) if t else [] for t in texts]
-        flat = [s for p in parts for s in p]
-        long = [i for i, s in enumerate(flat) if s[3] >= self.min_words]
-        lang: list[str | None] = [None] * len(flat)
-        sure = [0.0] * len(flat)
-        c = cosines([flat[i][2] for i in long], self.model)
-        if len(long):
-            best = c.argmax(axis=1)
-            e = np.exp(SHARPNESS * (c - c.max(axis=1, keepdims=True)))
-            p = (e / e.sum(axis=1, keepdims=True)).max(axis=1)
-            for i, b, top, q in zip(long, best.tolist(), c.max(axis=1).tolist(), p.tolist()):
-                if top >= LEAST:
-                    lang[i], sure[i] = self.model.languages[b], q
-        it = iter(range(len(flat)))
-        return [[(s[0], s[1], s[3], lang[i], sure[i]) for s, i in zip(p, it)] for p in parts]
+
+def read(texts: Sequence[str | None], model: Model, min_words: int = 6) -> Read:
+    p = parse(texts)
+    c = cosines(p, model)
+    if not len(p.text):
+        return Read(*p[:4], np.zeros(0, np.int64), np.zeros(0))
+    best, top = c.argmax(axis=1), c.max(axis=1)
+    e = np.exp(SHARPNESS * (c - top[:, None]))
+    sure = 1 / e.sum(axis=1)
+    good = (p.words >= min_words) & (p.plain >= LEAST_PLAIN) & (top >= LEAST)
+    return Read(*p[:4], np.where(good, best, -1), np.where(good, sure, 0.0))
 
 
 def segments_of(sentences: list[tuple[int, int, int, str | None, float]]) -> list[tuple[int, int, int, str | None, float]]:
@@ -258,12 +277,66 @@ def segments_of(sentences: list[tuple[int, int, int, str | None, float]]) -> lis
     return [(a, b, w, lang, (c / k) if k else 0.0) for a, b, w, lang, c, k in out]
 
 
-def fit(docs: DataFrame, key: str, text: str, label: str, train_rows: int = 6_000, min_words: int = 6) -> Model:
-    """A model from at most train_rows labelled rows of docs."""
-    d = docs.select(F.col(key).alias("k"), declared_language(label).alias("l"), F.substring(text, 1, TRAIN_CHARS).alias("t"))
-    d = d.filter("l IS NOT NULL AND t IS NOT NULL").orderBy(F.xxhash64("k"), "k").limit(train_rows)
-    rows = d.select("l", "t").toArrow()
-    return train(rows.column("t").to_pylist(), rows.column("l").to_pylist(), min_words=min_words)
+def fit(docs: DataFrame, key: str, text: str, label: str, train_rows: int = 6_000, min_words: int = 6, rounds: int = 2) -> Model:
+    """A model from about train_rows labelled rows of docs, whole texts."""
+    spark = docs.sparkSession
+    d = docs.select(F.col(key).alias("k"), declared_language(label).alias("l"), F.col(text).alias("t")).filter("l IS NOT NULL AND t IS NOT NULL")
+    labelled = d.count()
+    drawn = min(1 << 40, math.ceil((1 << 40) * train_rows / max(labelled, 1)))
+    rows = cut(d.filter(F.pmod(F.xxhash64("k"), F.lit(1 << 40)) < drawn).select("l", "t"))
+    known = {x: i for i, x in enumerate(LANGUAGES)}
+    model: Model | None = None
+    for _ in range(rounds + 1):
+        sent = spark.sparkContext.broadcast(model)  # of bounded size: 2 ** 18 n-grams
+
+        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            held = np.zeros(len(LANGUAGES) << BITS * N, np.int64)
+            for whole in batches:
+                for b in _slices(whole, 1):
+                    own = np.array([known[x] for x in b.column(0).to_pylist()], np.int64)
+                    p = parse(b.column(1).to_pylist())
+                    good = p.words >= min_words
+                    lang = own[p.text]
+                    if sent.value is not None:
+                        good &= cosines(p, sent.value).argmax(axis=1) == lang
+                    use = good[p.of]
+                    held += np.bincount(lang[p.of[use]] << BITS * N | p.code[use], minlength=len(held))
+            at = np.flatnonzero(held)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["at", "n"])
+
+        got = rows.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        at, n = got.column("at").to_numpy(), got.column("n").to_numpy()
+        grams, back = np.unique(at & (1 << BITS * N) - 1, return_inverse=True)
+        counts = np.zeros((len(LANGUAGES), len(grams)))
+        counts[at >> BITS * N, back] = n
+        model = build(counts, grams)
+        if not len(grams):
+            break
+    return model
+
+
+def save(spark: SparkSession, model: Model, path: str) -> None:
+    """As a table of n-grams with a product for each language."""
+    columns = {"gram": model.grams, **dict(zip(model.languages, model.products.T))}
+    spark.createDataFrame(pa.table({k: np.ascontiguousarray(v) for k, v in columns.items()})).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    t = spark.read.parquet(path).orderBy("gram").toArrow()  # of bounded size
+    languages = tuple(c for c in t.column_names if c != "gram")
+    products = np.stack([t.column(c).to_numpy() for c in languages], axis=1)
+    return Model(languages, t.column("gram").to_numpy(), products)
+
+
+def _slices(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most about MOST_BYTES of text and 4,096 rows; one row at least."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0), np.int64) + MOST_BYTES // 4096)
+    at = 0
+    while at < b.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MOST_BYTES, "right")))
+        yield b.slice(at, to - at)
+        at = to
 
 
 def _read(docs: DataFrame, model: Model, key: str, text: str, min_words: int, keep: Sequence[str], make, schema: str) -> DataFrame:
@@ -271,47 +344,51 @@ def _read(docs: DataFrame, model: Model, key: str, text: str, min_words: int, ke
     d = docs.select(F.col(key), *keep, F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(sent.value, min_words)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                n = b.num_columns
-                yield make(b, reader.read(b.column(n - 1).to_pylist()))
+            for b in _slices(whole, whole.num_columns - 1):
+                yield make(b, read(b.column(b.num_columns - 1).to_pylist(), sent.value, min_words))
 
     return d.mapInArrow(run, schema)
 
 
 def document_languages(docs: DataFrame, model: Model, key: str, text: str, min_words: int = 6) -> DataFrame:
     """(key, lang, confidence): the language of most words; confidence is its share of them times its sentences' own."""
-
-    def make(b: pa.RecordBatch, read: list) -> pa.RecordBatch:
-        langs, sure = [], []
-        for sentences in read:
-            words: dict[str, int] = {}
-            weight: dict[str, float] = {}
-            for _, _, n, lang, c in sentences:
-                if lang:
-                    words[lang] = words.get(lang, 0) + n
-                    weight[lang] = weight.get(lang, 0.0) + n * c
-            best = max(sorted(words), key=lambda x: words[x], default=None)
-            langs.append(best)
-            sure.append(weight[best] / sum(words.values()) if best else None)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(sure, pa.float64())], [key, "lang", "confidence"])
+    k = len(model.languages)
+
+    def make(b: pa.RecordBatch, r: Read) -> pa.RecordBatch:
+        ok = r.lang >= 0
+        at = r.text[ok] * k + r.lang[ok]
+        words, weight = (np.bincount(at, x, minlength=b.num_rows * k).reshape(-1, k) for x in (r.words[ok], r.words[ok] * r.sure[ok]))
+        best = _first_best(words, model.languages)
+        total = words.sum(axis=1)
+        some = total > 0
+        lang = np.where(some, np.array(model.languages, object)[best], None)
+        sure = weight[np.arange(len(best)), best] / np.maximum(total, 1)
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(sure, pa.float64(), mask=~some)], [key, "lang", "confidence"])
 
     kind = dict(docs.dtypes)[key]
     return _read(docs, model, key, text, min_words, [], make, f"`{key}` {kind}, lang string, confidence double")
 
 
+def _first_best(words: np.ndarray, languages: tuple[str, ...]) -> np.ndarray:
+    """The language of most words; of ties the first by name."""
+    order = np.argsort(languages)
+    return order[words[:, order].argmax(axis=1)] if len(words) else np.zeros(0, np.int64)
+
+
 def segment_languages(docs: DataFrame, model: Model, key: str, text: str, min_words: int = 6) -> DataFrame:
     """(key, segment, start, end, n_words, lang, confidence): places are code points, end excluded."""
 
-    def make(b: pa.RecordBatch, read: list) -> pa.RecordBatch:
-        at: list[int] = []
-        rows: list[tuple] = []
-        for i, sentences in enumerate(read):
-            for k, s in enumerate(segments_of(sentences)):
+    def make(b: pa.RecordBatch, r: Read) -> pa.RecordBatch:
+        names = [*model.languages, None]
+        sentences: list[list] = [[] for _ in range(b.num_rows)]
+        for i, *x, lang, sure in zip(*(c.tolist() for c in r)):
+            sentences[i].append((*x, names[lang], sure))
+        at, rows = [], []
+        for i, own in enumerate(sentences):
+            for n, s in enumerate(segments_of(own)):
                 at.append(i)
-                rows.append((k, *s[:4], s[4] if s[3] else None))
+                rows.append((n, *s[:4], s[4] if s[3] else None))
         cols = list(zip(*rows)) if rows else [()] * 6
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64())
         return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))], [key, "segment", "start", "end", "n_words", "lang", "confidence"])
@@ -323,14 +400,15 @@ def segment_languages(docs: DataFrame, model: Model, key: str, text: str, min_wo
 def mislabelled(docs: DataFrame, model: Model, key: str, text: str, label: str, min_words: int = 6) -> DataFrame:
     """(key, lang): languages in which a text has a sentence of min_words words and which its label doesn't name."""
     d = docs.withColumn("__declared", declared_language(label))
-
-    def make(b: pa.RecordBatch, read: list) -> pa.RecordBatch:
-        at, langs = [], []
-        for i, (sentences, own) in enumerate(zip(read, b.column(1).to_pylist())):
-            for lang in sorted({s[3] for s in sentences if s[3] and s[3] != own}):
-                at.append(i)
-                langs.append(lang)
-        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(langs, pa.string())], [key, "lang"])
+    known = {x: i for i, x in enumerate(model.languages)}
+    k = len(model.languages)
+
+    def make(b: pa.RecordBatch, r: Read) -> pa.RecordBatch:
+        own = np.array([known.get(x, -1) for x in b.column(1).to_pylist()], np.int64)
+        ok = (r.lang >= 0) & (r.lang != own[r.text])
+        both = np.unique(r.text[ok] * k + r.lang[ok])
+        langs = np.array(model.languages, object)[both % k]
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(both // k)), pa.array(langs, pa.string())], [key, "lang"])
 
     kind = dict(docs.dtypes)[key]
     return _read(d, model, key, text, min_words, ["__declared"], make, f"`{key}` {kind}, lang string").distinct()
