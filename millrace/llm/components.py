@@ -8,7 +8,11 @@ The graph is reduced before it is solved. Rounds of
 
 go on while they remove a tenth of the vertices. The core is then contracted: every vertex points to its smallest
 neighbour, if that is smaller than itself, pointers are doubled until they reach a root, and edges are drawn between
-roots, until no edge is left. Labels go back to the removed vertices in the reverse order of their removal.
+roots. Once no more than CORE_ARCS arcs are left after a round (they are counted), one task of an executor solves them by the same two
+steps in memory. Labels go back to the removed vertices in the reverse order of their removal.
+
+Ranking ends when no more than a tenth of the chains' arcs are open: what is left of long chains and of circles stays in
+the core, whose connections the removed vertices' edges keep.
 
 Nothing but counts comes to the driver. Degrees and smallest neighbours are sums and minima that are combined before
 the shuffle, so a hub costs one row a map task; joins against the edges of a hub are split by adaptive execution. Each
@@ -21,6 +25,10 @@ to itself makes a group of one; empty input gives an empty result; extra columns
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +36,8 @@ from millrace.session import cut
 
 #: Reduction goes on while a round removes at least this share of the vertices.
 WORTH = 0.1
+#: So many arcs (both directions of an edge count) are solved in one task.
+CORE_ARCS = 1_000_000
 
 
 def _strip(arcs: DataFrame) -> DataFrame:
@@ -58,13 +68,13 @@ def _chains(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("a").isNull().alias("done"),
     )
     step = cut(step)
-    open_before = None
+    n, n_before = step.count(), None
     while True:
         # done: the head is the end of the chain
         n_open = step.filter(~F.col("done")).count()
-        if n_open == 0 or n_open == open_before:  # what stays open runs in circles; the core takes it
+        if n_open <= WORTH * n or n_open == n_before:  # what stays open runs in circles; the core takes it
             break
-        open_before = n_open
+        n_before = n_open
         jump = step.select(F.col("u").alias("hu"), F.col("v").alias("hv"), F.col("hu").alias("ju"), F.col("hv").alias("jv"), F.col("done").alias("jd"))
         there = step.filter(~F.col("done")).join(jump.hint("merge"), ["hu", "hv"], "left").select(
             "u",
@@ -95,6 +105,43 @@ def _contract(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return point.filter("v <> to"), cut(rest)
 
 
+def solve(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The root, the smallest vertex of its group, of each vertex 0 .. max; u and v are the ends of edges."""
+    n = int(max(u.max(), v.max())) + 1 if len(u) else 0
+    root = np.arange(n)
+    while len(u):
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while not np.array_equal(up := root[root], root):
+            root = up
+        u, v = root[u], root[v]
+        apart = u != v
+        u, v = u[apart], v[apart]
+    return root
+
+
+def _solve_in_one_task(arcs: DataFrame) -> DataFrame:
+    """(v, to): the vertices that are no root of their group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        if not sum(b.num_rows for b in got):
+            return
+        t = pa.Table.from_batches(got)
+        names = pa.chunked_array([*t.column(0).chunks, *t.column(1).chunks]).dictionary_encode().combine_chunks()
+        names = names.chunk(0) if isinstance(names, pa.ChunkedArray) else names
+        order = names.dictionary.to_numpy(zero_copy_only=False).argsort(kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        at = place[names.indices.to_numpy()]
+        root = solve(at[: t.num_rows], at[t.num_rows :])
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        values = names.dictionary.take(pa.array(order))
+        yield pa.RecordBatch.from_arrays([values.take(pa.array(moved)), values.take(pa.array(root[moved]))], ["v", "to"])
+
+    kind = dict(arcs.dtypes)["u"]
+    return arcs.filter("u < v").select("u", "v").repartition(1).mapInArrow(run, f"v {kind}, to {kind}")
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(record, root) for every record of the edges; root is one record of its group."""
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
@@ -123,9 +170,12 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
             removed.append(ends.select("v", "to"))
             arcs = cut(_without(arcs, ends).unionByName(joined).distinct())
             left -= n
-        if before - left < WORTH * before:
+        if before - left < WORTH * before or arcs.count() <= CORE_ARCS:
+            break
+    while n := arcs.count() if left else 0:
+        if n <= CORE_ARCS:
+            removed.append(cut(_solve_in_one_task(arcs)))
             break
-    while not arcs.isEmpty():
         gone, arcs = _contract(arcs)
         removed.append(gone)
     known: DataFrame | None = None

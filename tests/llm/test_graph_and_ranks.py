@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.llm import components
 from millrace.llm.components import connected_components, label_by_least
 from millrace.llm.topn import top_n_per_group
 
@@ -50,8 +51,10 @@ def shapes():
     return {"path": path, "cycle": cycle, "star": star, "clique": clique, "all": path + cycle + star + clique + dense + bridge + theta + loop + lasso}
 
 
+@pytest.mark.parametrize("core", [0, 1_000_000])
 @pytest.mark.parametrize("name", ["path", "cycle", "star", "all"])
-def test_components(spark, name):
+def test_components(spark, monkeypatch, name, core):
+    monkeypatch.setattr(components, "CORE_ARCS", core)
     edges = shapes()[name]
     again = edges + [(b, a) for a, b in edges[::3]] + edges[::4]
     assert groups_of(spark, again) == union_find(edges)
