@@ -4,13 +4,16 @@ A source with target T tokens and A tokens available is to be used T / A times.
 each of its documents as certain copies, up to max_repeats. The rest is a sample by Pareto order sampling: a document
 with inclusion odds l / (1 - l) gets the ranking number (U / (1 - U)) / (l / (1 - l)), U being a uniform number made from
 its identifier and the seed, and the documents with the smallest ranking numbers are taken until their tokens fill the
-rest. Inclusion probabilities are the missing share of the source, times the document's weight if weights are given.
+rest. Inclusion probabilities are proportional to the documents' weights, such that the expected tokens are what is
+missing. Where that asks for more than 1, the document is certain and the others share what is left, until none asks for
+more: this is solved from the tokens by source and weight, weights being rounded to eighths of a power of two.
 
 The fill needs no global sort: tokens are summed by source and by one of SLOTS slots of the ranking number; the slot in
 which a source fills up is found from these sums, and only that slot's documents are ordered one by one. No source is
-ever in one task, however large.
+ever in one task, however large. What is missing then is less than one document; FILLS times the largest document not
+yet taken that still fits is added.
 
-Result: a total and shares are reached to within half a document a source where the source has enough; a source that is
+Result: totals and shares are reached to within the smallest documents where the source has enough; a source that is
 too small is used max_repeats times whole, and what it lacks is reported, not taken from others.
 
 Defined cases: source names count as equal without regard to case, surrounding spaces and the kind of separator; null
@@ -29,6 +32,9 @@ from millrace.functions.keys import stripped
 from millrace.session import cut
 
 SLOTS = 4096
+FILLS = 3
+#: Steps of weights for each power of two.
+STEPS = 8
 
 
 def source_name(c: Column | str) -> Column:
@@ -46,7 +52,7 @@ def plan_shares(sized: DataFrame, targets: DataFrame, total: Column, source: str
     good = lambda c: F.when(F.isnan(F.col(c).cast("double")) | (F.col(c) < 0), 0).otherwise(F.coalesce(c, F.lit(0)))
     t = targets.select(source_name(source).alias("source"), good(share).cast("double").alias("target_share"), good(repeats).cast("long").alias("max_repeats")).filter("source IS NOT NULL")
     t = t.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    have = sized.groupBy("source").agg(F.sum("n_tokens").alias("have"), F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("weight") * F.col("n_tokens")).alias("weighed"))
+    have = sized.groupBy("source").agg(F.sum("n_tokens").alias("have"), F.count(F.lit(1)).alias("n_docs"))
     all_ = have.agg(F.coalesce(F.sum("have"), F.lit(0)).alias("corpus"))
     p = t.join(have, "source", "full_outer").crossJoin(F.broadcast(all_))  # one row
     p = p.withColumn("want", total * F.coalesce("target_share", F.lit(0.0)))
@@ -70,38 +76,55 @@ class Mixture:
         self.sides = self.plan.count()
         self.seed = seed
 
+    def _small(self, df: DataFrame) -> DataFrame:
+        """One row a source, or a few: broadcast if there are few sources."""
+        return F.broadcast(df) if self.sides <= 100_000 else df
+
+    def _inclusion(self, d: DataFrame) -> DataFrame:
+        """(source, top, c): weights of steps above top are certain, others have the probability c times their weight."""
+        sums = d.filter("part > 0 AND weight > 0").groupBy("source", "step").agg(F.sum("n_tokens").alias("t"), F.first("need").alias("need"))
+        down = Window.partitionBy("source").orderBy(F.desc("step"))  # a row for each step of weights
+        sums = sums.withColumn("w", F.pow(F.lit(2.0), F.col("step") / STEPS)).withColumn("above", F.sum("t").over(down) - F.col("t"))
+        sums = sums.withColumn("rest", F.sum(F.col("w") * F.col("t")).over(down.rowsBetween(0, Window.unboundedFollowing)))
+        c = (F.col("need") - F.col("above")) / F.col("rest")
+        fits = sums.withColumn("c", c).filter("c >= 0 AND c * w <= 1 + 1e-9")
+        return fits.groupBy("source").agg(F.max("step").alias("top"), F.max_by("c", "step").alias("c"))
+
     def documents(self) -> DataFrame:
         """(key, source, n_tokens, copies), copies at least 1."""
-        p = self.plan.select("source", "whole", "part", "need", "have", "weighed").filter("source IS NOT NULL AND (whole > 0 OR part > 0)")
-        p = F.broadcast(p) if self.sides <= 100_000 else p
-        d = self.sized.join(p, "source")
-        # inclusion probability, and the ranking number brought to (0, 1) by the source's own odds: with equal weights
-        # it is U itself, so slots are filled evenly
-        l = F.least(F.col("part") * F.col("weight") * F.col("have") / F.col("weighed"), F.lit(1 - 1e-9))
+        p = self.plan.select("source", "whole", "part", "need").filter("source IS NOT NULL AND (whole > 0 OR part > 0)")
+        d = self.sized.join(self._small(p), "source").withColumn("step", F.when(F.col("weight") > 0, F.round(F.log2("weight") * STEPS)))
+        d = d.join(self._small(self._inclusion(d)), "source", "left")
+        l = F.when(F.col("step") > F.col("top"), 1.0).otherwise(F.least(F.col("c") * F.pow(F.lit(2.0), F.col("step") / STEPS), F.lit(1.0)))
+        d = d.withColumn("l", F.when(F.col("part") > 0, F.coalesce(l, F.lit(0.0))).otherwise(0.0))
+        # the ranking number brought to (0, 1) by the source's own odds, so that slots are filled evenly
         u = uniform(F.col("key"), self.seed)
-        d = d.withColumn("l", F.coalesce(l, F.lit(0.0)))
         odds = F.col("part") / (1 - F.col("part"))
         r = (u / (1 - u)) / (F.col("l") / (1 - F.col("l"))) * odds
-        d = d.withColumn("r", F.when((F.col("part") > 0) & (F.col("l") > 0), r / (1 + r)))
+        d = d.withColumn("r", F.when(F.col("l") >= 1, 0.0).when(F.col("l") > 0, r / (1 + r)))
         d = d.withColumn("slot", F.least(F.floor(F.col("r") * SLOTS), F.lit(SLOTS - 1)))
         sums = d.filter("slot IS NOT NULL").groupBy("source", "slot").agg(F.sum("n_tokens").alias("t"), F.first("need").alias("need"))
         w = Window.partitionBy("source").orderBy("slot")  # SLOTS rows a source at most
         sums = sums.withColumn("upto", F.sum("t").over(w)).withColumn("before", F.col("upto") - F.col("t"))
         full = sums.select("source", "slot", "before", (F.col("upto") <= F.col("need")).alias("all"), ((F.col("before") <= F.col("need")) & (F.col("upto") > F.col("need"))).alias("edge"))
-        d = d.join(full.filter("all OR edge"), ["source", "slot"], "left")
+        d = d.join(full.filter("all OR edge"), ["source", "slot"], "left").select("source", "key", "n_tokens", "whole", "part", "need", "r", "before", F.coalesce("all", F.lit(False)).alias("taken"), F.coalesce("edge", F.lit(False)).alias("edge"))
         order = Window.partitionBy("source").orderBy("r", "key")
-        edge = d.filter("edge").withColumn("cum", F.col("before") + F.sum("n_tokens").over(order) - F.col("n_tokens"))
-        taken = edge.filter(F.col("cum") + F.col("n_tokens") / 2 <= F.col("need")).select("source", "key", "n_tokens", (F.col("whole") + 1).alias("copies"))
-        left = edge.filter(F.col("cum") + F.col("n_tokens") / 2 > F.col("need")).select("source", "key", "n_tokens", F.col("whole").alias("copies"))
-        rest = d.filter("NOT coalesce(edge, false)").select("source", "key", "n_tokens", (F.col("whole") + F.coalesce(F.col("all").cast("long"), F.lit(0))).alias("copies"))
-        return rest.unionByName(taken).unionByName(left).filter("copies > 0").select("key", "source", "n_tokens", "copies")
+        edge = d.filter("edge").withColumn("taken", F.col("before") + F.sum("n_tokens").over(order) <= F.col("need"))
+        d = cut(d.filter("NOT edge").unionByName(edge).select("source", "key", "n_tokens", "whole", "part", "need", "r", "taken"))
+        for _ in range(FILLS):
+            gap = d.filter("part > 0").groupBy("source").agg((F.first("need") - F.sum(F.when(F.col("taken"), F.col("n_tokens")).otherwise(0))).alias("gap"))
+            fits = d.filter("part > 0 AND NOT taken AND r IS NOT NULL").join(self._small(gap), "source").filter("n_tokens <= gap")
+            best = fits.groupBy("source").agg(F.max_by("key", F.struct("n_tokens", -F.col("r"), "key")).alias("best"))
+            d = d.join(self._small(best), "source", "left").withColumn("taken", F.col("taken") | F.coalesce(F.col("key") == F.col("best"), F.lit(False))).drop("best")
+        return d.select("key", "source", "n_tokens", (F.col("whole") + F.col("taken").cast("long")).alias("copies")).filter("copies > 0")
 
     def shares(self) -> DataFrame:
-        """For each target and source: target and reached share, tokens wanted and reached, documents, copies."""
+        """For each target and source: target share, shares of the reached and the wanted total, tokens wanted and reached, documents, copies."""
         got = self.documents().groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("n_used"), F.max("copies").alias("most_copies"))
         got = self.plan.select("source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"), "want", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("have", F.lit(0)).alias("have")).join(got, "source", "left")
         z = lambda c: F.coalesce(c, F.lit(0))
         got = got.select("source", "target_share", "max_repeats", "want", "n_docs", "have", z("tokens").alias("tokens"), z("n_used").alias("n_used"), z("most_copies").alias("most_copies"))
         total = got.agg(F.sum("tokens").alias("total"))
         got = got.crossJoin(F.broadcast(total))  # one row
-        return got.select("*", F.when(F.col("total") > 0, F.col("tokens") / F.col("total")).alias("share"), (F.col("want") - F.col("tokens")).alias("lacking")).drop("total")
+        of_wanted = F.when(F.col("want") > 0, F.col("tokens") / F.col("want") * F.col("target_share"))
+        return got.select("*", F.when(F.col("total") > 0, F.col("tokens") / F.col("total")).alias("share"), of_wanted.alias("share_of_wanted"), (F.col("want") - F.col("tokens")).alias("lacking")).drop("total")

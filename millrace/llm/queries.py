@@ -73,13 +73,20 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def _mixture(spark: SparkSession, d: str) -> Mixture:
     sized = count_tokens(spread(table(spark, d, "documents").select("doc_id", "source", "text")), ["doc_id", "source"], "text")
-    return Mixture(sized, table(spark, d, "mix_targets"), "doc_id", "source", of_corpus=0.5)
+    return Mixture(sized, table(spark, d, "mix_targets"), "doc_id", "source", of_corpus=0.5, weight="n_tokens")
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).documents().withColumnRenamed("key", "doc_id")
 
 
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """For each target whether its repeats are kept and it reaches its share of the wanted total to a tenth of a percent of that total, or all are used."""
+    s = _mixture(spark, d).shares().filter("target_share > 0")
+    near = F.abs(F.col("share_of_wanted") - F.col("target_share")) <= 0.001
+    return s.select("source", (F.col("most_copies") <= F.col("max_repeats")).alias("repeats_kept"), (near | (F.col("tokens") == F.col("have") * F.col("max_repeats"))).alias("share_kept"))
+
+
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).shares()
 
@@ -101,7 +108,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return langid.segment_languages(*_documents_and_model(spark, d), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p3_found, p4_found, p5_found, p6_found, p6_similar, p7_ids, p8_mixture, p8_shares, p9_found, p9_documents, p9_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p3_found, p4_found, p5_found, p6_found, p6_similar, p7_ids, p8_mixture, p8_shares, p8_kept, p9_found, p9_documents, p9_segments)}
 
 _NUMBER = r"TRY_CAST(trim(doc_id, E' \t\r\n\x0b\x0c') AS DECIMAL(38,6))"
 
@@ -141,6 +148,17 @@ WITH RECURSIVE links AS (
 ), arcs AS (SELECT q AS a, d AS b FROM links UNION SELECT d, q FROM links),
 reach AS (SELECT a AS start, a AS spot FROM arcs UNION SELECT r.start, arcs.b FROM reach r JOIN arcs ON arcs.a = r.spot)
 SELECT substr(start, 2) AS record, min(CAST(substr(spot, 2) AS BIGINT)) AS group_doc FROM reach WHERE spot LIKE 'd%' GROUP BY start
+""",
+    "p8_kept": """
+SELECT DISTINCT regexp_replace(lower(trim(source)), '[\\s_-]+', '_', 'g') AS source, true AS repeats_kept, true AS share_kept FROM mix_targets WHERE target_share > 0
+""",
+    "p6_found": """
+WITH u AS (SELECT doc_id, min(vector) AS v FROM doc_vectors WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY doc_id),
+n AS (SELECT doc_id, v::DOUBLE[] AS v FROM u),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, round(list_cosine_similarity(a.v, b.v), 9) AS c FROM n a JOIN n b ON a.doc_id <> b.doc_id),
+r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS place FROM p)
+SELECT DISTINCT least(a, b) AS doc_id_a, greatest(a, b) AS doc_id_b FROM r WHERE place <= 5 AND c >= 0.9
 """,
     "p5_found": f"""
 WITH h AS (SELECT query_id, CAST({_NUMBER} AS BIGINT) AS doc_id, similarity_score AS s, rank AS r FROM search_results
