@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from millrace.functions import tokens as tk
 from millrace.operators import catalog, fuse, rag, retrieve, vectors
 from millrace.operators import tfidf as tf
+from millrace.session import spread
 
 METHODS = ("tfidf", "embedding", "hybrid")
 
@@ -49,8 +50,7 @@ class Engine:
     active: str | None = None
 
     def __post_init__(self) -> None:
-        # by document first: counts and norms then need no other shuffle
-        self.tokenised = self.docs.select("doc_id", "text").repartition("doc_id").select("doc_id", self.profile.tokenizer("text").alias("tokens"))
+        self.tokenised = spread(self.docs.select("doc_id", "text")).select("doc_id", self.profile.tokenizer("text").alias("tokens"))
         self.model = tf.fit(self.tokenised, "tokens", self.profile.config)
         self.index = tf.weights(self.tokenised, "tokens", self.model)
 

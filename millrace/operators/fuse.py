@@ -25,12 +25,8 @@ def arm_sizes(arm: DataFrame, name: str) -> DataFrame:
     return arm.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
 
 
-def reciprocal_ranks(lexical: DataFrame, vector: DataFrame, weights: Weights, k: int | None) -> DataFrame:
-    """w_v / (c + rank_v) + w_l / (c + rank_l), more for documents in both arms.
-
-    A document that one arm lacks has there the rank after that arm's last for this query (1 if the arm is empty).
-    Input arms are ranked results; output has both original scores, 0 where a document is missing.
-    """
+def _joined(lexical: DataFrame, vector: DataFrame, weights: Weights) -> DataFrame:
+    """Both arms in one join, with the arms' sizes of each query (nl, nv) and the fused score."""
     l = lexical.select("query_id", "doc_id", F.col("rank").alias("lr"), F.col("score").alias("tfidf_score"))
     v = vector.select("query_id", "doc_id", F.col("rank").alias("vr"), F.col("score").alias("embedding_score"))
     w = Window.partitionBy("query_id")
@@ -39,19 +35,35 @@ def reciprocal_ranks(lexical: DataFrame, vector: DataFrame, weights: Weights, k:
     rank_l, rank_v = F.coalesce("lr", F.col("nl") + 1), F.coalesce("vr", F.col("nv") + 1)
     score = weights.vector / (weights.constant + rank_v) + weights.lexical / (weights.constant + rank_l)
     score = score * F.when(F.col("lr").isNotNull() & F.col("vr").isNotNull(), F.lit(weights.both)).otherwise(1.0)
-    scored = j.select("query_id", "doc_id", score.alias("hybrid_score"), F.coalesce("tfidf_score", F.lit(0.0)).alias("tfidf_score"), F.coalesce("embedding_score", F.lit(0.0)).alias("embedding_score"))
-    return top_k(scored, k, score="hybrid_score").select("query_id", "rank", "doc_id", "hybrid_score", "tfidf_score", "embedding_score")
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return j.select("query_id", "doc_id", score.alias("hybrid_score"), zero("tfidf_score"), zero("embedding_score"), "lr", "vr", "nl", "nv")
+
+
+_COLUMNS = ("query_id", "rank", "doc_id", "hybrid_score", "tfidf_score", "embedding_score")
+
+
+def reciprocal_ranks(lexical: DataFrame, vector: DataFrame, weights: Weights, k: int | None) -> DataFrame:
+    """w_v / (c + rank_v) + w_l / (c + rank_l), more for documents in both arms.
+
+    A document that one arm lacks has there the rank after that arm's last for this query (1 if the arm is empty).
+    Input arms are ranked results; output has both original scores, 0 where a document is missing.
+    """
+    return top_k(_joined(lexical, vector, weights), k, score="hybrid_score").select(*_COLUMNS)
 
 
 def hybrid(lexical: DataFrame, vector: DataFrame, weights: Weights, k: int, least_vector: float = 0.1, least_lexical: float = 0.01) -> DataFrame:
-    """Queries with one empty arm keep the other arm's first k above a least score, ranks with gaps."""
-    both = lexical.select("query_id").distinct().join(vector.select("query_id").distinct(), "query_id", "left_semi")
-    fused = reciprocal_ranks(lexical.join(both, "query_id", "left_semi"), vector.join(both, "query_id", "left_semi"), weights, k)
-    only_v = vector.join(both, "query_id", "left_anti").filter((F.col("rank") <= k) & (F.col("score") > least_vector))
-    only_v = only_v.select("query_id", "rank", "doc_id", F.col("score").alias("hybrid_score"), F.lit(0.0).alias("tfidf_score"), F.col("score").alias("embedding_score"))
-    only_l = lexical.join(both, "query_id", "left_anti").filter((F.col("rank") <= k) & (F.col("score") > least_lexical))
-    only_l = only_l.select("query_id", "rank", "doc_id", F.col("score").alias("hybrid_score"), F.col("score").alias("tfidf_score"), F.lit(0.0).alias("embedding_score"))
-    return fused.unionByName(only_v).unionByName(only_l)
+    """Queries with one empty arm keep the other arm's first k above a least score, ranks with gaps.
+
+    One join and one pass over each query's rows: which arm is empty follows from the arms' sizes.
+    """
+    j = _joined(lexical, vector, weights)
+    only_v, only_l = F.col("nl") == 0, F.col("nv") == 0
+    own = F.when(only_v, F.col("embedding_score")).when(only_l, F.col("tfidf_score"))
+    j = j.withColumn("hybrid_score", F.coalesce(own, "hybrid_score"))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("hybrid_score", 9)), "doc_id"))
+    j = j.withColumn("rank", F.when(only_v, F.col("vr")).when(only_l, F.col("lr")).otherwise(best))
+    least = F.when(only_v, F.lit(least_vector)).when(only_l, F.lit(least_lexical))
+    return j.filter((F.col("rank") <= k) & (least.isNull() | (F.col("hybrid_score") > least))).select(*_COLUMNS)
 
 
 def answered(queries: DataFrame, results: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Lexical retrieval for batches of queries.
 
 Queries are (query_id, tokens), results (query_id, rank, doc_id, score). Scores come from an equi-join on terms; the
-query side is broadcast if its measured number of rows is at most BROADCAST_ROWS, otherwise both sides are shuffled by
-term and adaptive execution splits the frequent ones. Partial sums are combined before the shuffle by query and document.
+query side is computed once and counted; it is broadcast if it has at most BROADCAST_ROWS rows, otherwise both sides are
+shuffled by term and adaptive execution splits the frequent ones. Partial sums are combined before the shuffle by query and document.
 """
 
 from __future__ import annotations
@@ -15,26 +15,29 @@ from pyspark.sql import functions as F
 
 from millrace.operators import tfidf
 from millrace.operators.ranking import top_k
+from millrace.session import broadcast_below, cut
 
 BROADCAST_ROWS = 200_000
 
 
-def _small(df: DataFrame, rows: int | None) -> DataFrame:
-    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame) -> DataFrame:
+    """Computed once, counted, and broadcast if small."""
+    df = cut(df)
+    return broadcast_below(df, df.count(), BROADCAST_ROWS)
 
 
-def cosine_scores(queries: DataFrame, tokens: str, index: DataFrame, model: tfidf.Model, n_query_rows: int | None = None) -> DataFrame:
+def cosine_scores(queries: DataFrame, tokens: str, index: DataFrame, model: tfidf.Model) -> DataFrame:
     """(query_id, doc_id, score) of all documents that share a term; both sides have unit length, so the sum is the cosine."""
     q = tfidf.weights(queries, tokens, model, "query_id").select("query_id", "term", F.col("weight").alias("qw"))
-    j = index.join(_small(q, n_query_rows), "term")
+    j = index.join(_small(q), "term")
     return j.groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
 
 
-def cosine_search(queries: DataFrame, tokens: str, index: DataFrame, model: tfidf.Model, k: int = 10, store: DataFrame | None = None, n_query_rows: int | None = None) -> DataFrame:
+def cosine_search(queries: DataFrame, tokens: str, index: DataFrame, model: tfidf.Model, k: int = 10, store: DataFrame | None = None) -> DataFrame:
     """R1, R2, R4; with a store (doc_id), R3: documents outside it are left out before the cut."""
     if store is not None:
         index = index.join(store.select("doc_id").distinct(), "doc_id", "left_semi")
-    return _ranked(cosine_scores(queries, tokens, index, model, n_query_rows).filter("score > 0"), k)
+    return _ranked(cosine_scores(queries, tokens, index, model).filter("score > 0"), k)
 
 
 def _ranked(scored: DataFrame, k: int | None) -> DataFrame:
@@ -47,7 +50,7 @@ def index_search(queries: DataFrame, tokens: str, index: DataFrame, config: tfid
         index = index.join(store.select("doc_id").distinct(), "doc_id", "left_semi")
     q = tfidf.term_counts(queries, tokens, config, "query_id").select("query_id", "term", F.col("tf").alias("times"))
     w = F.col("weight") if weighted else F.lit(1.0)
-    return _ranked(index.join(q, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * w).alias("score")), k)
+    return _ranked(index.join(_small(q), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * w).alias("score")), k)
 
 
 def blend(original: DataFrame, expanded: DataFrame, share: float = 0.7, changed: DataFrame | None = None) -> DataFrame:
@@ -80,12 +83,12 @@ def expand_from_table(queries: DataFrame, tokens: str, related: DataFrame, most:
     return out.withColumn(tokens, F.array_distinct(F.concat(tokens, F.coalesce("__more", F.array().cast("array<string>"))))).drop("__more")
 
 
-def feedback_search(queries: DataFrame, docs: DataFrame, tokens: str, index: DataFrame, model: tfidf.Model, k: int = 10, feedback: int = 5, share: float = 0.7, n_query_rows: int | None = None) -> DataFrame:
+def feedback_search(queries: DataFrame, docs: DataFrame, tokens: str, index: DataFrame, model: tfidf.Model, k: int = 10, feedback: int = 5, share: float = 0.7) -> DataFrame:
     """The tokens of the best `feedback` documents are appended in rank order, scored again and blended.
 
     Without a score filter, as the blended list is cut by rank alone; documents that share no term have no row.
     """
-    first = cosine_scores(queries, tokens, index, model, n_query_rows)
+    first = cosine_scores(queries, tokens, index, model)
     best = top_k(first, feedback)
     texts = best.join(docs.select("doc_id", F.col(tokens).alias("__t")), "doc_id")
     more = texts.groupBy("query_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", "__t"))), lambda s: s["__t"])).alias("__more"))

@@ -4,9 +4,9 @@ A vocabulary is (term, df, cf, idf); weights are (doc_id, term, tf, weight), one
 document. An inverted index is the same table read by term. Null texts count as documents without terms: they are part
 of the document number, as is any document all of whose terms are pruned.
 
-Shuffles: counts go by (document, term), unless the documents come partitioned by their key: then counting and the norms
-stay in place. One by term for the vocabulary, which joins by broadcast if its measured number of rows is at most
-BROADCAST_TERMS, else by term.
+A row of docs is a document. Terms are counted within the row, on its sorted terms, so texts are never shuffled. Shuffles:
+one by term for the vocabulary (term, df, cf, combined before it), one by document for the norms, of what the vocabulary
+has left. The vocabulary joins by broadcast if its measured number of rows is at most BROADCAST_TERMS, else by term.
 """
 
 from __future__ import annotations
@@ -59,12 +59,16 @@ class Model:
 
 
 def term_counts(docs: DataFrame, tokens: str, config: Config, key: str = "doc_id") -> DataFrame:
-    """(key, term, tf)
+    """(key, term, tf) of each row of docs.
 
-    An outer explode: from an inner one the optimizer infers a filter on the array's size and tokenizes twice.
+    The terms are sorted; where a run begins is a term, and where the next begins gives its number. An outer explode: from
+    an inner one the optimizer infers a filter on the array's size and tokenizes twice.
     """
-    terms = ngrams(F.col(tokens), config.low, config.high)
-    return docs.select(key, F.explode_outer(terms).alias("term")).filter("term IS NOT NULL").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    d = docs.select(key, F.array_sort(F.filter(ngrams(F.col(tokens), config.low, config.high), lambda t: t.isNotNull())).alias("__s"))
+    begins = F.filter(F.sequence(F.lit(0), F.size("__s") - 1), lambda i: (i == 0) | (F.get("__s", i) != F.get("__s", i - 1)))
+    d = d.select(key, "__s", F.when(F.size("__s") > 0, begins).alias("__b"))
+    runs = F.transform("__b", lambda p, i: F.struct(F.get("__s", p).alias("term"), (F.coalesce(F.get("__b", i + 1), F.size("__s")) - p).cast("long").alias("tf")))
+    return d.select(key, F.explode_outer(runs).alias("__r")).filter("__r IS NOT NULL").select(key, "__r.term", "__r.tf")
 
 
 def vocabulary(counts: DataFrame, n_docs: int, config: Config) -> DataFrame:

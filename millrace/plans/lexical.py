@@ -13,15 +13,14 @@ from millrace.functions import wordlists as wl
 from millrace.operators import retrieve as rt
 from millrace.operators import tfidf as tf
 from millrace.plans import sqltext as sq
-from millrace.session import table
+from millrace.session import spread, table
 
 UNI = tf.Config(None, 1, 1.0, 1, 1, False)
 QUORA, ANTIQUE, DEFAULT = tf.CONFIGS["quora"], tf.CONFIGS["antique"], tf.CONFIGS["default"]
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    """Partitioned by document before tokenizing, so that counts and norms by document need no other shuffle."""
-    return table(spark, d, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", tk.simple("text").alias("tokens"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", tk.simple("text").alias("tokens"))
 
 
 def search_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -126,7 +125,7 @@ def fallback_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def query_expansion(spark: SparkSession, d: str) -> DataFrame:
-    q = search_queries(spark, d)
+    q = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), tk.simple("title").alias("tokens"))
     return q.select("query_id", F.array_join(rt.expand_terms(F.col("tokens"), wl.EXPANSIONS_ENHANCED), " ").alias("tokens"))
 
 
@@ -200,7 +199,7 @@ xl AS (SELECT query_id, list(term) AS toks FROM f GROUP BY 1), {sq.query_weights
 s2 AS (SELECT xw.query_id, w.doc_id, sum(xw.weight * w.weight) AS score FROM xw JOIN w ON xw.term = w.term GROUP BY 1, 2),
 p AS (SELECT query_id, doc_id, 0.7 * score AS part FROM s1 UNION ALL SELECT query_id, doc_id, (1 - 0.7) * score FROM s2),
 s AS (SELECT query_id, doc_id, sum(part) AS score FROM p GROUP BY 1, 2), r AS ({sq.ranked("s", 10)})""" + _OUT,
-    "query_expansion": f"WITH {Q} SELECT query_id, array_to_string(toks, ' ') AS tokens FROM {_expanded(wl.EXPANSIONS_ENHANCED, None, 1)}",
+    "query_expansion": f"WITH {Q.replace(' WHERE doc_id % 100 = 0', '')} SELECT query_id, array_to_string(toks, ' ') AS tokens FROM {_expanded(wl.EXPANSIONS_ENHANCED, None, 1)}",
     "enriched_results": cosine_sql(UNI, 3) + " SELECT r.query_id, r.rank, r.doc_id, d.title, d.n_chars FROM r LEFT JOIN documents d ON d.doc_id = r.doc_id",
     "score_stats": cosine_sql(UNI, 1) + " SELECT count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, round(max(score), 6) AS max, round(min(score), 6) AS min FROM s",
 }
