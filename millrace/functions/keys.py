@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space that may surround a key; a fixed value.
-BLANKS = "".join(chr(int(x, 16)) for x in (
-    "0x20 0x09 0x0A 0x0B 0x0C 0x0D 0x1C 0x1D 0x1E 0x1F 0x85 0xA0 0x1680 "
-    "0x2000 0x2001 0x2002 0x2003 0x2004 0x2005 0x2006 0x2007 0x2008 0x2009 0x200A 0x2028 0x2029 0x202F 0x205F 0x3000 0xFEFF"
-).split())
+BLANKS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 
 
 def stripped(c: Column | str) -> Column:

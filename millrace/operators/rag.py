@@ -71,7 +71,7 @@ def _lines(df: DataFrame, key: str, order: str, line: Column, name: str) -> Data
 
 def capitalised(c: Column) -> Column:
     """First sign in upper, the rest in lower case."""
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 20)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substr(c, F.lit(2))))
 
 
 def prompts(questions: DataFrame, messages: DataFrame, context: DataFrame, dataset: str = "quora", history: int = 6, documents: int = 3, signs: int = 300) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.cleaning import clean
+from millrace.session import cut
 
 # The columns that may hold a text or an identifier, in order of preference.
 TEXT_FIELDS = ("text", "content", "body", "document", "passage", "answer")
@@ -37,11 +38,16 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """One object a line; blank and malformed lines are skipped; the limit counts rows that parse to a document."""
+    """One object a line; blank and malformed lines are skipped; a limit counts documents: rows with a text."""
     m = F.from_json("value", T.MapType(T.StringType(), T.StringType()), {"mode": "PERMISSIVE"})
     rows = spark.read.text(path).filter(F.trim("value") != "").select(m.alias("fields")).filter("fields IS NOT NULL AND size(fields) > 0")
     rows = rows.select("fields", F.monotonically_increasing_id().alias("position"))
-    return rows if limit is None else rows.limit(limit)
+    return rows if limit is None else rows.filter(accepted()).limit(limit)
+
+
+def accepted() -> Column:
+    """Whether fields have a text: the first that isn't empty, not blank."""
+    return F.coalesce(clean(_first(TEXT_FIELDS), [("strip",)]) != "", F.lit(False))
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
@@ -130,7 +136,8 @@ def with_constant_metadata(docs: DataFrame, dataset: str, source: str) -> DataFr
 
 def positions(docs: DataFrame, order: str) -> DataFrame:
     """Identifiers from 0 by an explicit order, numbered partition by partition without one global sort task."""
-    ranged = docs.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id())
+    # cut, so that both branches see the same partitions
+    ranged = cut(docs.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()))
     sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))  # one row a partition
     before = sizes.withColumn("__b", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).select("__p", "__b")
     w = Window.partitionBy("__p").orderBy(order)
