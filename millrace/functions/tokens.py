@@ -69,6 +69,11 @@ def medical(text: Column | str, training: bool = False) -> Column:
     return cl.without(F.filter(t, lambda x: x.rlike("^[a-z]+$")), wl.STOP_SERVING)
 
 
+def loaded(text: Column | str) -> Column:
+    """T11 without lemmas: runs of letters but stop words."""
+    return cl.without(cl.split_words(cl.clean(text, cl.loader_base())), wl.STOP_ENGLISH)
+
+
 def enhanced_tokens(docs: DataFrame, text: str, name: str = "tokens", stop: Sequence[str] = wl.STOP_ENGLISH) -> DataFrame:
     """T12, T18-T21 in order: negations marked, numbers and stop words dropped, key phrases added, each token once.
 
@@ -120,6 +125,47 @@ def map_tokens(docs: DataFrame, key: str, tokens: str, table: DataFrame, form: s
     return docs.drop(tokens).join(got, key, "left").withColumn(tokens, F.coalesce(tokens, F.array().cast("array<string>")))
 
 
+_STEMS: dict[str, str] = {}
+#: Words whose stems a worker keeps.
+MOST_STEMS = 500_000
+
+
+def _stemmed(batch: pd.Series) -> pd.Series:
+    if len(_STEMS) > MOST_STEMS:
+        _STEMS.clear()
+
+    def one(w: str) -> str:
+        s = _STEMS.get(w)
+        if s is None:
+            s = _STEMS[w] = stem(w)
+        return s
+
+    return batch.map(lambda ts: None if ts is None else [one(t) for t in ts if t is not None])
+
+
+def stemmed(tokens: Column | str) -> Column:
+    """N10 on arrays in Arrow batches, each different word of a worker once; no shuffle."""
+    return F.pandas_udf(_stemmed, "array<string>")(tokens)
+
+
+#: T8-T10 whole: tokens before stemming, and the synonyms that follow it. Lemmas come from a table, where there is one.
+COMPOSED: dict[str, tuple[Callable[[Column | str], Column], dict[str, str]]] = {
+    "serving": (medical, wl.SYNONYMS_SERVING),
+    "training": (lambda c: medical(c, True), wl.SYNONYMS_TRAINING),
+    "evaluation": (lambda c: cl.without(alphanumeric(c), wl.STOP_ENGLISH), {}),
+}
+
+
+def composed(docs: DataFrame, text: str, name: str, out: str = "tokens") -> DataFrame:
+    """T8, T9 or T10: clean, split, filter, stem, then synonyms of the stems.
+
+    On a table: the stemmer runs in Python and must not end up inside a lambda.
+    """
+    base, synonyms = COMPOSED[name]
+    d = docs.withColumn("__w", base(text)).withColumn("__s", stemmed("__w"))
+    return d.withColumn(out, cl.synonyms(F.col("__s"), synonyms) if synonyms else F.col("__s")).drop("__w", "__s")
+
+
 def stems(distinct_tokens: DataFrame, column: str) -> DataFrame:
     """(form, lemma) for a table of tokens, each stemmed once."""
 

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.cleaning import clean
+
 
 @dataclass(frozen=True)
 class Wording:
@@ -102,10 +104,10 @@ def template_answers(questions: DataFrame, context: DataFrame, dataset: str = "q
 
 def cleaned_answer(c: Column) -> Column:
     """Role labels removed, an unfinished last sentence of fewer than ten signs dropped."""
-    blank = r"(?U)^\s+|\s+$"
-    t = F.regexp_replace(F.replace(c, F.lit("Assistant:"), F.lit("")), blank, "")
-    t = F.regexp_replace(F.replace(t, F.lit("User:"), F.lit("")), blank, "")
+    strip = lambda x: clean(x, [("strip",)])
+    t = strip(F.replace(c, F.lit("Assistant:"), F.lit("")))
+    t = strip(F.replace(t, F.lit("User:"), F.lit("")))
     parts = F.split(t, r"\.")
-    short = F.length(F.regexp_replace(F.element_at(parts, -1), blank, "")) < 10
+    short = F.length(strip(F.element_at(parts, -1))) < 10
     kept = F.concat(F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), "."), F.lit("."))
     return F.when((F.size(parts) > 1) & short, kept).otherwise(t)

@@ -70,6 +70,10 @@ q AS (SELECT quora_queries.query_id, min(text) AS text FROM quora_queries GROUP
 said AS (SELECT thread_id, string_agg(role || ': ' || text, chr(10) ORDER BY doc_id) AS s FROM m WHERE back <= 6 GROUP BY 1),
 readd AS (SELECT query_id, string_agg(rank || '. ' || substr(coalesce(document, ''), 1, 300), chr(10) ORDER BY rank) AS s FROM c WHERE rank <= 3 GROUP BY 1)"""
 _W = rag.WORDING["antique"]
+_STRIP = [("strip",)]
+_CLEANED = f"""WITH a AS (SELECT doc_id, {sq.clean("replace('Assistant: ' || coalesce(text, '') || ' User:', 'Assistant:', '')", _STRIP)} AS t FROM documents),
+b AS (SELECT doc_id, {sq.clean("replace(t, 'User:', '')", _STRIP)} AS t FROM a), p AS (SELECT doc_id, t, string_split(t, '.') AS ps FROM b)
+SELECT doc_id, CASE WHEN len(ps) > 1 AND length({sq.clean("ps[-1]", _STRIP)}) < 10 THEN array_to_string(list_slice(ps, 1, greatest(len(ps) - 1, 1)), '.') || '.' ELSE t END AS answer FROM p"""
 SQL = {
     "rag_prompt": f"""{_BASE} SELECT q.query_id, CASE WHEN said.s IS NOT NULL THEN 'Previous conversation:' || chr(10) || said.s || chr(10) || chr(10) ELSE '' END || {sq.lit(rag.WORDING["quora"].heading)}
  || CASE WHEN readd.s IS NOT NULL THEN chr(10) || readd.s ELSE '' END || chr(10) || chr(10) || 'User question: ' || coalesce(q.text, '') || chr(10) || 'Assistant:' AS prompt
@@ -78,6 +82,7 @@ FROM q LEFT JOIN c ON c.query_id = q.query_id AND c.rank = 1 LEFT JOIN said ON s
  CASE WHEN c.score > 0.8 THEN {sq.lit(_W.sure)} WHEN c.score > 0.6 THEN {sq.lit(_W.likely)} ELSE {sq.lit(_W.unsure)} END || chr(10) || chr(10) || coalesce(c.document, '')
  || CASE WHEN n.n > 1 THEN chr(10) || chr(10) || {sq.lit(_W.others.split("{n}")[0])} || (n.n - 1) || {sq.lit(_W.others.split("{n}")[1])} ELSE '' END END AS answer
 FROM q LEFT JOIN c ON c.query_id = q.query_id AND c.rank = 1 LEFT JOIN n ON n.query_id = q.query_id""",
+    "rag_answer_cleaned": _CLEANED,
     "history_cap": """SELECT conversation_id, turn, role FROM (SELECT thread_id AS conversation_id, doc_id AS turn, CASE WHEN doc_id % 2 = 0 THEN 'user' ELSE 'ASSISTANT' END AS role,
  row_number() OVER (PARTITION BY thread_id ORDER BY doc_id DESC) AS n FROM documents WHERE thread_id IS NOT NULL) WHERE n <= 20""",
     "live_conversations": """WITH l AS (SELECT thread_id AS conversation_id, max(created_at) AS last_at FROM documents WHERE thread_id IS NOT NULL GROUP BY 1)

@@ -199,6 +199,14 @@ xl AS (SELECT query_id, list(term) AS toks FROM f GROUP BY 1), {sq.query_weights
 s2 AS (SELECT xw.query_id, w.doc_id, sum(xw.weight * w.weight) AS score FROM xw JOIN w ON xw.term = w.term GROUP BY 1, 2),
 p AS (SELECT query_id, doc_id, 0.7 * score AS part FROM s1 UNION ALL SELECT query_id, doc_id, (1 - 0.7) * score FROM s2),
 s AS (SELECT query_id, doc_id, sum(part) AS score FROM p GROUP BY 1, 2), r AS ({sq.ranked("s", 10)})""" + _OUT,
+    "fallback_search": f"""WITH {sq.tfidf(UNI)}, {Q},
+q0 AS (SELECT query_id, {sq.simple_tokens("regexp_replace(text, '[^a-zA-Z]+', ' ', 'g')")} AS toks FROM q), q1 AS (SELECT query_id, {sq.simple_tokens("text")} AS toks FROM q),
+q3 AS (SELECT query_id, list_filter(string_split_regex(lower(text), '[ \\t\\n\\x0b\\f\\r]+'), lambda t: t <> '') AS toks FROM q), q2 AS (SELECT query_id, list_filter(toks, lambda t: length(t) > 2) AS toks FROM q3),
+{", ".join(sq.query_weights(UNI, f"w{i}q", f"q{i}", "toks") for i in range(4))},
+{", ".join(f"s{i} AS (SELECT x.query_id, w.doc_id, sum(x.weight * w.weight) AS score FROM w{i}q x JOIN w ON x.term = w.term GROUP BY 1, 2 HAVING sum(x.weight * w.weight) > 0)" for i in range(4))},
+a AS ({" UNION ALL ".join(f"SELECT query_id, rank, doc_id, score, {i} AS strategy FROM ({sq.ranked(f's{i}', 10)})" for i in range(4))}
+  UNION ALL SELECT query_id, n.rank, n.doc_id, 0.001, 4 FROM q, (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents QUALIFY rank <= 10) n)
+SELECT query_id, rank, doc_id, round(score, 6) AS score, strategy FROM a QUALIFY strategy = min(strategy) OVER (PARTITION BY query_id)""",
     "query_expansion": f"WITH {Q.replace(' WHERE doc_id % 100 = 0', '')} SELECT query_id, array_to_string(toks, ' ') AS tokens FROM {_expanded(wl.EXPANSIONS_ENHANCED, None, 1)}",
     "enriched_results": cosine_sql(UNI, 3) + " SELECT r.query_id, r.rank, r.doc_id, d.title, d.n_chars FROM r LEFT JOIN documents d ON d.doc_id = r.doc_id",
     "score_stats": cosine_sql(UNI, 1) + " SELECT count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, round(max(score), 6) AS max, round(min(score), 6) AS min FROM s",

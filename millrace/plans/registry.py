@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.plans import conversation, evaluation, integrity, lexical, storage, texts, vectors
+from millrace.plans import conversation, evaluation, files, integrity, lexical, storage, texts, vectors
 
-MODULES = (integrity, texts, lexical, vectors, evaluation, conversation, storage)
+MODULES = (integrity, texts, lexical, vectors, evaluation, conversation, storage, files)
 FLAGSHIP = "eval_per_query"
 
 

@@ -90,9 +90,7 @@ def cleaning_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stemmed_tokens(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d).select("id", tk.medical("text").alias("tokens"))
-    stemmed = tk.stem_tokens(docs, "id", "tokens")
-    return stemmed.select("id", F.array_join(cl.synonyms(F.col("tokens"), wl.SYNONYMS_SERVING), " ").alias("tokens"))
+    return tk.composed(_docs(spark, d), "text", "serving").select("id", F.array_join("tokens", " ").alias("tokens"))
 
 
 def stop_words_removed(spark: SparkSession, d: str) -> DataFrame:

@@ -79,6 +79,15 @@ def lsh_recall(spark: SparkSession, d: str) -> DataFrame:
     return vectors.recall_against(vectors.projection_search(q, c, 10), vectors.flat_search(q, c, 10))
 
 
+def ann_recall_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the approximate searches find nine tenths of the exact ten of every query taken together."""
+    q, c = _queries(spark, d), _corpus(spark, d)
+    exact = vectors.flat_search(q, c, 10)
+    ways = (("cells", _cells(c).search(q, 10)), ("projections", vectors.projection_search(q, c, 10)))
+    out = [vectors.recall_against(found, exact).select(F.lit(n).alias("name"), (F.col("recall") >= 0.9).alias("kept")) for n, found in ways]
+    return out[0].unionByName(out[1])
+
+
 def vector_similarity_stats(spark: SparkSession, d: str) -> DataFrame:
     s = retrieve.similarity_stats(vectors.flat_search(_queries(spark, d), _corpus(spark, d), None))
     return s.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "max", "min")])
@@ -130,7 +139,7 @@ def doc_alignment(spark: SparkSession, d: str) -> DataFrame:
 
 
 FUNCTIONS = (
-    vector_cosine_topk, vector_expression_topk, vector_positive_only, vector_dot_topk, vector_l2_topk, vector_lengths, ivf_topk, ivf_recall, lsh_topk, lsh_recall, vector_similarity_stats,
+    vector_cosine_topk, vector_expression_topk, vector_positive_only, vector_dot_topk, vector_l2_topk, vector_lengths, ivf_topk, ivf_recall, lsh_topk, lsh_recall, ann_recall_kept, vector_similarity_stats,
     hybrid_rrf_quora, hybrid_rrf_antique, hybrid_rrf_deep, min_max_scores, doc_alignment,
 )
 QUERIES = {f.__name__: f for f in FUNCTIONS}
@@ -174,6 +183,7 @@ SQL = {
     "vector_positive_only": _flat_sql(f"round({_COS}, 12)", 400, "WHERE score > 0"),
     "vector_dot_topk": _flat_sql("list_dot_product(a.v, b.v)", 10),
     "vector_l2_topk": _flat_sql("-(list_distance(a.v, b.v) ** 2)", 10),
+    "ann_recall_kept": "SELECT * FROM (VALUES ('cells', true), ('projections', true)) t(name, kept)",
     "vector_lengths": """SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS length, 1.0 AS unit_length FROM embeddings""",
     "vector_similarity_stats": f"""WITH e AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT {_COS} AS score FROM e a JOIN e b ON a.doc_id % 100 = 0)
 SELECT count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, round(max(score), 6) AS max, round(min(score), 6) AS min FROM s""",

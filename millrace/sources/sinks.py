@@ -96,4 +96,4 @@ def save_results(scored: DataFrame, path: str) -> None:
 def export_tsv(rows: DataFrame, path: str) -> None:
     """Tabs, a header; tabs and line ends within texts become spaces."""
     flat = [F.regexp_replace(c, r"[\t\r\n]+", " ").alias(c) if t == "string" else F.col(c) for c, t in rows.dtypes]
-    rows.select(*flat).write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
+    rows.select(*flat).write.mode("overwrite").option("header", True).option("sep", "\t").option("quote", "").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)

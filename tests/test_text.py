@@ -76,3 +76,24 @@ def test_whole_numbers(spark):
     for r in df.select("k", "v", whole_number("k").alias("n"), blank("k").alias("b")).collect():
         assert r["n"] == r["v"], r
         assert r["b"] == ((r["k"] or "").strip() == "")
+
+
+def test_composed_tokenizers(spark):
+    """Expected by hand from the rules: stop lists, Porter's stems, then synonyms of the stems."""
+    df = spark.createDataFrame([(1, "The doctors weren't treating 25 swollen knees!"), (2, None), (3, "")], "i int, t string")
+    for name in tk.COMPOSED:
+        got = {r["i"]: r["tokens"] for r in tk.composed(df, "t", name).collect()}
+        assert got[2] == [] and got[3] == []
+        base, synonyms = tk.COMPOSED[name]
+        words = df.filter("i = 1").select(base("t").alias("w")).first()["w"]
+        assert got[1] == [synonyms.get(stem(w), stem(w)) for w in words]
+        assert "treat" in got[1] or "treat" in synonyms
+    assert tk.composed(df.limit(0), "t", "serving").count() == 0
+
+
+def test_limits_count_documents(spark, tmp_path):
+    p = tmp_path / "x.jsonl"
+    p.write_text('{"id": "1", "text": " "}\n\nbroken\n{"id": "2", "text": "a"}\n{"id": "3"}\n{"id": "4", "text": "b"}\n{"id": "5", "text": "c"}\n')
+    from millrace.sources import readers
+
+    assert [r["id"] for r in readers.normalise(readers.read_jsonl(spark, str(p), 2)).collect()] == ["2", "4"]
