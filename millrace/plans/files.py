@@ -234,7 +234,7 @@ def tfidf_topk_question(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(t.select("doc_id", "text")).select("doc_id", tk.question("text").alias("tokens"))
     model = tf.fit(docs, "tokens", lx.QUORA)
     q = t.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), tk.question("title").alias("tokens"))
-    return rt.cosine_search(q, "tokens", tf.weights(docs, "tokens", model), model, 10).withColumn("score", F.round("score", 5))
+    return lx._scores(rt.cosine_search(q, "tokens", tf.weights(docs, "tokens", model), model, 10))
 
 
 def tfidf_topk_stemmed(spark: SparkSession, d: str) -> DataFrame:
@@ -275,6 +275,8 @@ _KEEP = [w for w in wl.STOP_ENGLISH if w not in wl.KEEP_QUESTION]
 
 
 def _asked(expr: str) -> str:
+    # this engine's digit class is ASCII's, the rules' is not
+    expr = rf"regexp_replace({expr}, '[\x{{660}}-\x{{669}}\x{{6f0}}-\x{{6f9}}\x{{966}}-\x{{96f}}\x{{ff10}}-\x{{ff19}}]', '7', 'g')"
     return sq.kept(sq.split(sq.clean(expr, cl.question())), f"length(t) >= 2 AND {sq.not_in(_KEEP)} AND NOT regexp_full_match(t, '[_-]+')")
 
 
@@ -312,7 +314,7 @@ SELECT t.query_id, array_to_string(list_filter(list_concat(toks, coalesce(more,
     "expansion_medical": f"""WITH t AS ({_TITLES}), a AS (SELECT query_id, list_concat(toks, flatten(list_transform(toks, lambda t: coalesce({_MED}[t], [])))) AS a FROM t)
 SELECT query_id, array_to_string(list_filter(a, lambda w, i: list_position(a, w) = i AND length(w) >= 3), ' ') AS tokens FROM a""",
     "tfidf_topk_retuned": lx.cosine_sql(tf.CONFIGS["quora_retuned"], 10) + lx._OUT,
-    "tfidf_topk_question": lx.cosine_sql(lx.QUORA, 10).replace(sq.simple_tokens("text"), _asked("text")).replace(sq.simple_tokens("title"), _asked("title")) + lx._OUT.replace("round(score, 6)", "round(score, 5)"),
+    "tfidf_topk_question": lx.cosine_sql(lx.QUORA, 10).replace(sq.simple_tokens("text"), _asked("text")).replace(sq.simple_tokens("title"), _asked("title")) + lx._OUT,
     "engine_search_tfidf": lx.cosine_sql(_ANTIQUE, 10) + " SELECT r.query_id, r.rank, r.doc_id, round(score, 6) AS score, length(d.text) AS n FROM r LEFT JOIN documents d ON d.doc_id = r.doc_id",
     "engine_search_auto": f"""{lx.cosine_sql(_ANTIQUE, 20)}, {vp._DV},
 vs AS (SELECT a.doc_id AS query_id, b.doc_id, round({vp._COS}, 12) AS score FROM dv a JOIN dv b ON a.doc_id % 100 = 0), vr AS (SELECT * FROM ({sq.ranked("vs", 20)}) WHERE score > 0),
