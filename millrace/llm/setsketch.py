@@ -218,6 +218,8 @@ def band_keys(words: np.ndarray, back: np.ndarray, starts: np.ndarray, codes: np
     code = codes[_slot(won, bits)].astype(np.float64)
     # the winner's share of the texts, in bits
     share = np.maximum(math.log2(max(n, 1)) - (code - 1) / STEPS, 0)
+    # a register's values of all rows lie together
+    won, code, share = (np.ascontiguousarray(x.T) for x in (won, code, share))
     hashed = ts.mix(won)
     out = np.empty((len(starts), bands), U)
     alive = np.ones((len(starts), bands), bool)
@@ -232,11 +234,13 @@ def band_keys(words: np.ndarray, back: np.ndarray, starts: np.ndarray, codes: np
             at = np.flatnonzero(on)
             if not len(at):
                 break
-            new = (won[at][:, run[:i]] != won[at, r][:, None]).all(axis=1)
-            acc[at] += np.where(new, hashed[at, r], U(0))
-            got[at] += np.where(new, share[at, r], 0)
+            w, new = won[r][at], np.ones(len(at), bool)
+            for q in run[:i]:
+                new &= won[q][at] != w
+            acc[at] += np.where(new, hashed[r][at], U(0))
+            got[at] += np.where(new, share[r][at], 0)
             deep[at] += new
-            once = code[at, r] == 1
+            once = code[r][at] == 1
             alive[at[once], b] = False
             on[at] = (got[at] < goal) & ~once
         out[:, b] = ts.mix(acc)
@@ -331,7 +335,7 @@ def bands_for(n: int, chance: float, least: int) -> int:
 class NearDuplicates:
     """The parts of the join; docs needs the columns key and text."""
 
-    def __init__(self, docs: DataFrame, key: str, text: str, share: float = 0.7, min_words: int = 5, bands: int = 14, chance: float = 512.0, miss: float = 0.003, count_bits: int | None = None, part_entries: int = 300_000, split: int = 1_000_000):
+    def __init__(self, docs: DataFrame, key: str, text: str, share: float = 0.7, min_words: int = 5, bands: int = 14, chance: float = 512.0, miss: float = 0.003, count_bits: int | None = None, part_entries: int = 200_000, split: int = 1_000_000):
         self.share, self.min_words = Fraction(str(share)), min_words
         self.docs = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).filter("key IS NOT NULL AND text IS NOT NULL")
         self.bands, self.chance, self.miss, self.part_entries, self.split = bands, chance, miss, part_entries, split
