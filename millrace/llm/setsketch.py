@@ -57,10 +57,10 @@ from millrace.llm import textscan as ts
 U = np.uint64
 #: Base and limit of the registers' scale; 16 bits hold q + 2 values.
 B, Q, RATE = 1.001, (1 << 16) - 2, 4096  # RATE: log_b of the exponentials' common rate
-REGISTERS = 40
+REGISTERS = 32
 DEPTH = 8  # most registers in a band
-BANDS_PER_BIT = 3.0  # bands for each bit that a band asks for
-DEEP = 3  # the words that win in a band beyond the first ones
+BANDS_PER_BIT = 3.25  # bands for each bit that a band asks for
+DEEP = 2  # the words that win in a band beyond the first ones
 SIGNATURE = 192  # registers of one bit in the second sketch
 ENTRY = np.dtype([("hash", "<u4"), ("id", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("s2", "<u8"), ("n", "u1"), ("m", "u1")])  # n words, m of them not alone in the corpus
 WORDS = ("s0", "s1", "s2")
@@ -68,7 +68,7 @@ SIZES = 256  # larger sets count as this large in the estimate, which only keeps
 STEPS = 4  # codes of counts for each power of two: one byte holds every count of 63 bits
 COUNT_BITS = (22, 25)  # least and most
 SLICES = 64
-STRIP = 20  # registers worked on at a time, for the processor's caches
+STRIP = 16  # registers worked on at a time, for the processor's caches
 BLOCK = 512
 
 
@@ -335,7 +335,7 @@ def bands_for(n: int, chance: float, least: int) -> int:
 class NearDuplicates:
     """The parts of the join; docs needs the columns key and text."""
 
-    def __init__(self, docs: DataFrame, key: str, text: str, share: float = 0.7, min_words: int = 5, bands: int = 14, chance: float = 512.0, miss: float = 0.003, count_bits: int | None = None, part_entries: int = 200_000, split: int = 1_000_000):
+    def __init__(self, docs: DataFrame, key: str, text: str, share: float = 0.7, min_words: int = 5, bands: int = 12, chance: float = 1024.0, miss: float = 0.003, count_bits: int | None = None, part_entries: int = 200_000, split: int = 1_000_000):
         self.share, self.min_words = Fraction(str(share)), min_words
         self.docs = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).filter("key IS NOT NULL AND text IS NOT NULL")
         self.bands, self.chance, self.miss, self.part_entries, self.split = bands, chance, miss, part_entries, split

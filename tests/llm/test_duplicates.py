@@ -64,8 +64,8 @@ def test_bands_of_larger_corpora_lose_no_more(n):
     codes[setsketch._slot(words, 22)] = setsketch.count_codes(np.array([n // 20]))  # every word in a twentieth of the texts
     sets = [rng.permutation(400)[:24] for _ in range(2000)]
     rows = [r for s in sets for r in (s[:20], s[4:])]  # 16 of 20 words in common
-    n_bands = setsketch.bands_for(n, 512.0, 14)
-    key, alive = setsketch.band_keys(words, np.concatenate(rows), np.arange(len(rows)) * 20, codes, n, n_bands, 512.0, 14)
+    n_bands = setsketch.bands_for(n, 1024.0, 12)
+    key, alive = setsketch.band_keys(words, np.concatenate(rows), np.arange(len(rows)) * 20, codes, n, n_bands, 1024.0, 12)
     key[~alive] = np.arange((~alive).sum(), dtype=np.uint64)
     found = (key[::2, :, None] == key[1::2, None, :]).any(axis=(1, 2))
     assert found.mean() >= 0.99
