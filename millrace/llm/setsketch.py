@@ -15,7 +15,7 @@ maxima of the registers, and two sets agree in a register the more often the mor
    A band won by a word that occurs once in the corpus can't be shared and isn't sent. The longer the bands must be, the
    more of them there are; those beyond the first `bands` are sent only if DEEP words or more had to win in them, as it
    is the texts of common words that need them.
-3. Joint estimate. A second sketch, unweighted, is carried along as one bit of each of 192 registers; it leaves out
+3. Joint estimate. A second sketch, unweighted, is carried along as one bit of each of 256 registers; it leaves out
    the words that occur once, which are never common. Two bits agree with chance (1 + J) / 2 at similarity J. Within a
    bucket of a band, the likelihood of the agreement seen under the least similarity that a true pair of these sizes can
    have is set against its maximum over J: a pair is dropped if its estimate is lower and the ratio says that no true
@@ -24,7 +24,7 @@ maxima of the registers, and two sets agree in a register the more often the mor
 
 Texts with the same set of words make one class and go through 2-4 once; a class is told by two hashes of 64 bits. Copies
 are made one within a batch before anything is shuffled, so a text with a third of all copies costs one entry a batch and
-band. Entries are shuffled as packed binary blocks, 37 bytes an entry, into as many parts as their number asks for.
+band. Entries are shuffled as packed binary blocks, 45 bytes an entry, into as many parts as their number asks for.
 
 Hot buckets: a part is read as a stream and held up to `split` entries. What is held is compared; if the part goes on (a
 hot bucket fell into it), it is also written as a block, to be compared with each later block of the part in a task of
@@ -61,9 +61,9 @@ REGISTERS = 32
 DEPTH = 8  # most registers in a band
 BANDS_PER_BIT = 3.25  # bands for each bit that a band asks for
 DEEP = 2  # the words that win in a band beyond the first ones
-SIGNATURE = 192  # registers of one bit in the second sketch
-ENTRY = np.dtype([("hash", "<u4"), ("id", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("s2", "<u8"), ("n", "u1"), ("m", "u1")])  # n words, m of them not alone in the corpus
-WORDS = ("s0", "s1", "s2")
+SIGNATURE = 256  # registers of one bit in the second sketch
+ENTRY = np.dtype([("hash", "<u4"), ("id", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("s2", "<u8"), ("s3", "<u8"), ("n", "u1"), ("m", "u1")])  # n words, m of them not alone in the corpus
+WORDS = ("s0", "s1", "s2", "s3")
 SIZES = 256  # larger sets count as this large in the estimate, which only keeps more
 STEPS = 4  # codes of counts for each power of two: one byte holds every count of 63 bits
 COUNT_BITS = (22, 25)  # least and most
