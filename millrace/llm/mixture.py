@@ -52,7 +52,7 @@ def plan_shares(sized: DataFrame, targets: DataFrame, total: Column, source: str
     good = lambda c: F.when(F.isnan(F.col(c).cast("double")) | (F.col(c) < 0), 0).otherwise(F.coalesce(c, F.lit(0)))
     t = targets.select(source_name(source).alias("source"), good(share).cast("double").alias("target_share"), good(repeats).cast("long").alias("max_repeats")).filter("source IS NOT NULL")
     t = t.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    have = sized.groupBy("source").agg(F.sum("n_tokens").alias("have"), F.count(F.lit(1)).alias("n_docs"))
+    have = sized.groupBy("source").agg(F.sum("n_tokens").alias("have"), F.count(F.lit(1)).alias("n_docs"), F.max("n_tokens").alias("largest"))
     all_ = have.agg(F.coalesce(F.sum("have"), F.lit(0)).alias("corpus"))
     p = t.join(have, "source", "full_outer").crossJoin(F.broadcast(all_))  # one row
     p = p.withColumn("want", total * F.coalesce("target_share", F.lit(0.0)))
@@ -121,9 +121,9 @@ class Mixture:
     def shares(self) -> DataFrame:
         """For each target and source: target share, shares of the reached and the wanted total, tokens wanted and reached, documents, copies."""
         got = self.documents().groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("n_used"), F.max("copies").alias("most_copies"))
-        got = self.plan.select("source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"), "want", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("have", F.lit(0)).alias("have")).join(got, "source", "left")
+        got = self.plan.select("source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"), "want", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("have", F.lit(0)).alias("have"), F.coalesce("largest", F.lit(0)).alias("largest")).join(got, "source", "left")
         z = lambda c: F.coalesce(c, F.lit(0))
-        got = got.select("source", "target_share", "max_repeats", "want", "n_docs", "have", z("tokens").alias("tokens"), z("n_used").alias("n_used"), z("most_copies").alias("most_copies"))
+        got = got.select("source", "target_share", "max_repeats", "want", "n_docs", "have", "largest", z("tokens").alias("tokens"), z("n_used").alias("n_used"), z("most_copies").alias("most_copies"))
         total = got.agg(F.sum("tokens").alias("total"))
         got = got.crossJoin(F.broadcast(total))  # one row
         of_wanted = F.when(F.col("want") > 0, F.col("tokens") / F.col("want") * F.col("target_share"))

@@ -81,10 +81,15 @@ def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_kept(spark: SparkSession, d: str) -> DataFrame:
-    """For each target whether its repeats are kept and it reaches its share of the wanted total to a tenth of a percent of that total, or all are used."""
+    """For each target whether its repeats are kept and its share is kept.
+
+    That is: it reaches its share of the wanted total to a tenth of a percent of that total, or all its documents are used as
+    often as they may, or it has fewer than 100 documents and lacks less than the largest of them.
+    """
     s = _mixture(spark, d).shares().filter("target_share > 0")
     near = F.abs(F.col("share_of_wanted") - F.col("target_share")) <= 0.001
-    return s.select("source", (F.col("most_copies") <= F.col("max_repeats")).alias("repeats_kept"), (near | (F.col("tokens") == F.col("have") * F.col("max_repeats"))).alias("share_kept"))
+    coarse = (F.col("n_docs") < 100) & (F.col("lacking") >= 0) & (F.col("lacking") < F.col("largest"))
+    return s.select("source", (F.col("most_copies") <= F.col("max_repeats")).alias("repeats_kept"), (near | coarse | (F.col("tokens") == F.col("have") * F.col("max_repeats"))).alias("share_kept"))
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
