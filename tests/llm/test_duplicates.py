@@ -71,6 +71,38 @@ def test_bands_of_larger_corpora_lose_no_more(n):
     assert found.mean() >= 0.99
 
 
+def test_the_estimate_loses_no_pair_at_the_threshold(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(2500):  # 14 of 20 words in common, all rare enough for bands of their own
+        for k in "ab":
+            rows.append((f"{k}{i:04}", " ".join([*(f"c{i}x{j}" for j in range(14)), *(f"w{x}" for x in rng.sample(range(400), 6))])))
+    df = spark.createDataFrame(rows, "key string, text string")
+    got = {tuple(r) for r in NearDuplicates(df, "key", "text").key_pairs().collect()}
+    assert got == {(f"a{i:04}", f"b{i:04}") for i in range(2500)}
+
+
+@pytest.mark.parametrize("n", [5, 20, 69, 70, 90, 100, 101, 130, 300])
+def test_texts_of_all_lengths_meet_their_partners(spark, n):
+    rows = [r for i in range(12) for r in ((f"a{i}", " ".join(f"c{i}x{j}" for j in range(n))), (f"b{i}", " ".join(f"c{i}x{j}" for j in range(-(-7 * n // 10)))))]
+    df = spark.createDataFrame(rows, "key string, text string").repartition(2)
+    got = {tuple(r) for r in NearDuplicates(df, "key", "text").key_pairs().collect()}
+    assert got == brute_pairs(rows) and (len(got) == 12 or n == 5)
+
+
+def test_bands_of_a_text_in_a_part_share_its_signature():
+    rng = np.random.default_rng(6)
+    e = np.zeros(3000, setsketch.ENTRY)
+    of = rng.integers(0, 300, 3000)
+    e["hash"] = rng.integers(0, 1 << 24, 3000)
+    for f in setsketch.SET.names:
+        e[f] = rng.integers(0, 200, 300)[of]
+    part, blocks = setsketch._pack_parts(of % 3, e)
+    assert part.tolist() == [0, 1, 2] and sum(map(len, blocks)) < 300 * 42 + 3000 * 3.2 + 30
+    back = np.concatenate([setsketch._unpack(x) for x in blocks])
+    assert sorted(back.tolist()) == sorted(set(e.tolist()))
+
+
 def test_pairs_of_odd_rows(spark):
     long = " ".join(f"x{i}" for i in range(20_000))
     rows = [("a", "one two three four five"), ("b", "FIVE four-three, two one!"), ("b", "FIVE four-three, two one!"), ("c", None), (None, "one two three four five"), ("d", ""), ("e", "one two three four"),
