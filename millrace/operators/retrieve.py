@@ -3,6 +3,7 @@
 Queries are (query_id, tokens), results (query_id, rank, doc_id, score). Scores come from an equi-join on terms; the
 query side is computed once and counted; it is broadcast if it has at most BROADCAST_ROWS rows, otherwise both sides are
 shuffled by term and adaptive execution splits the frequent ones. Partial sums are combined before the shuffle by query and document.
+Long queries (feedback) go through `blocks` instead, which has no row for each query and document.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import tfidf
+from millrace.operators.blocks import best_documents
 from millrace.operators.ranking import top_k
 from millrace.session import broadcast_below, cut
 
@@ -86,16 +88,18 @@ def expand_from_table(queries: DataFrame, tokens: str, related: DataFrame, most:
 def feedback_search(queries: DataFrame, docs: DataFrame, tokens: str, index: DataFrame, model: tfidf.Model, k: int = 10, feedback: int = 5, share: float = 0.7) -> DataFrame:
     """The tokens of the best `feedback` documents are appended in rank order, scored again and blended.
 
-    Without a score filter, as the blended list is cut by rank alone; documents that share no term have no row.
+    Without a score filter, as the blended list is cut by rank alone; documents that share no term have no row. The longer
+    queries have terms of nearly all documents, so both searches keep the best of each query as they read. Scores are
+    linear in the query's weights, so what is blended is these.
     """
-    first = cosine_scores(queries, tokens, index, model)
-    best = top_k(first, feedback)
-    texts = best.join(docs.select("doc_id", F.col(tokens).alias("__t")), "doc_id")
+    short = cut(tfidf.weights(queries, tokens, model, "query_id").select("query_id", "term", "weight"))
+    best = cut(best_documents(short, docs, tokens, index, model, feedback).select("query_id", "rank", "doc_id"))
+    texts = docs.select("doc_id", F.col(tokens).alias("__t")).join(broadcast_below(best, best.count(), BROADCAST_ROWS), "doc_id")
     more = texts.groupBy("query_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", "__t"))), lambda s: s["__t"])).alias("__more"))
     longer = queries.join(more, "query_id", "left").withColumn(tokens, F.concat(tokens, F.coalesce("__more", F.array().cast("array<string>")))).drop("__more")
-    second = cosine_scores(longer, tokens, index, model)
-    both = first.select("query_id", "doc_id", (share * F.col("score")).alias("p")).unionByName(second.select("query_id", "doc_id", ((1 - share) * F.col("score")).alias("p")))
-    return _ranked(both.groupBy("query_id", "doc_id").agg(F.sum("p").alias("score")), k)
+    long = tfidf.weights(longer, tokens, model, "query_id")
+    both = short.select("query_id", "term", (share * F.col("weight")).alias("p")).unionByName(long.select("query_id", "term", ((1 - share) * F.col("weight")).alias("p")))
+    return best_documents(cut(both.groupBy("query_id", "term").agg(F.sum("p").alias("weight"))), docs, tokens, index, model, k)
 
 
 def first_that_answers(strategies: Sequence[DataFrame]) -> DataFrame:

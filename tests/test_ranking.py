@@ -1,4 +1,6 @@
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,3 +133,57 @@ def test_similarity_stats_cover_every_score(spark, monkeypatch):
     n = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id")
     assert plan_vectors.vector_similarity_stats(spark, d).first()["n"] == n.filter("vec_id % 100 = 0").count() * n.count()
     assert seen == [None]  # no cut, however many rows
+
+
+def feedback_corpus(n_docs, n_queries):
+    rng = random.Random(2)
+    pick = lambda n: [f"w{int(60 * rng.random() ** 2)}" for _ in range(n)]
+    docs = [(i, pick(rng.randrange(12))) for i in range(n_docs)]
+    return docs + [(n_docs, None), (n_docs + 1, docs[1][1])], [(f"q{i}", pick(rng.randrange(4))) for i in range(n_queries)]
+
+
+def feedback_by_hand(docs, queries, k, share=0.7):
+    """R17 in plain Python: {(query, rank): (doc, score)}."""
+    docs = {d: Counter(t or []) for d, t in docs}
+    df = Counter(x for t in docs.values() for x in t)
+    idf = {x: math.log((1 + len(docs)) / (1 + n)) + 1 for x, n in df.items()}
+
+    def unit(t):
+        w = {x: n * idf[x] for x, n in t.items() if x in idf}
+        return {x: v / math.sqrt(sum(y * y for y in w.values())) for x, v in w.items()}
+
+    weights = {d: unit(t) for d, t in docs.items()}
+
+    def ranked(q, k):
+        s = {d: sum(v * w[x] for x, v in q.items() if x in w) for d, w in weights.items() if q.keys() & w.keys()}
+        return sorted(s.items(), key=lambda x: (-round(x[1], 9), x[0]))[:k]
+
+    out = {}
+    for name, t in queries:
+        longer = Counter(t)
+        for d, _ in ranked(unit(Counter(t)), 5):
+            longer += docs[d]
+        first, second = unit(Counter(t)), unit(longer)
+        for i, r in enumerate(ranked({x: share * first.get(x, 0) + (1 - share) * v for x, v in second.items()}, k)):
+            out[name, i + 1] = r
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_feedback_has_no_row_for_each_query_and_document(spark, monkeypatch, broadcast):
+    rows, asked = feedback_corpus(3000, 1500)
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>").repartition(3).cache()
+    queries = spark.createDataFrame(asked, "query_id string, tokens array<string>")
+    config = tf.Config(None, 1, 1.0, 1, 1, False)
+    model = tf.fit(docs, "tokens", config)
+    index = tf.weights(docs, "tokens", model)
+    if not broadcast:  # the documents' weights then come from the index
+        monkeypatch.setattr(tf, "BROADCAST_TERMS", 10)
+    got = retrieve.feedback_search(queries, docs, "tokens", index, model, 10)
+    joins = got._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    assert joins == (0 if broadcast else 1)  # that of the index with the vocabulary
+    want = feedback_by_hand(rows, asked, 10)
+    got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in got.collect()}
+    assert got.keys() == want.keys()
+    for key, (doc, score) in want.items():
+        assert got[key][0] == doc and got[key][1] == pytest.approx(score, abs=1e-9), key
